@@ -7,16 +7,22 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, lattice, linefirst, mixing, parity, pieces, sharding
+from . import chat, lattice, licenses, linefirst, mixing, parity, pieces, pii, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(spark, _table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.told("base").cast("binary"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
+
+
 def op2_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lattice.similar_vectors(spark, _table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
@@ -62,6 +68,13 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("tree", "formatted", "loss").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(spark, docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(spark, docs, model)
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources = mixing.mix(spark, _table(spark, sf_dir, "documents"))
     sources = F.broadcast(sources.select(F.col("source").alias("of"), "source_size", "target"))
@@ -69,18 +82,36 @@ def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(spark, _table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["base"])
+    starts = F.transform(base, lambda x: x["first"])
+
+    def names(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["confidence"])), F.lit(0.0))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"), names(F.col("found")).alias("labels"), best.alias("score"),
+    )
+
+
 def op10_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(spark, _table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_e8_lattice": op2_e8_lattice,
     "op3_line_quality": op3_line_quality,
     "op4_parity_join": op4_parity_join,
     "op5_piece_backtracking": op5_piece_backtracking,
     "op6_reply_trees": op6_reply_trees,
+    "op7_subword_toxicity": op7_subword_toxicity,
     "op8_flow_mix": op8_flow_mix,
+    "op9_signature_rules": op9_signature_rules,
     "op10_splitter_shards": op10_splitter_shards,
 }
 
