@@ -95,25 +95,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): what the mix takes of every row, and each source's size, target and routed tokens.
+def plan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(selection, sources): how often each membership pattern is taken, and each source's size, target and tokens.
 
-    ``sources`` is an array column of a row's sources (default: the ``source`` column alone; null is a source of its
-    own). ``rows`` has one row per input row: ``id, members, size`` (words, a null text has none), ``copies``
-    (how often the mix takes the row whole) and ``taken = copies * size``; no row is taken more than ``most``
-    times. The selection depends on ids and the seed, so reruns agree; rows equal in id and size are
-    interchangeable. Rows without words are never taken. An empty table gives empty results, other columns of
-    ``docs`` are ignored.
+    ``selection`` has ``of`` (the pattern), ``whole`` (copies of all its rows) and ``cut``: rows whose rank is at most
+    ``cut`` are taken once more. At most ``MAX_PATTERNS`` rows, so it can be broadcast and applied without a shuffle.
     """
     ws = Workspace(spark)
-    members = F.array(F.col("source")) if sources is None else F.coalesce(sources, F.array(F.lit(None).cast("string")))
-    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = ws.cut(
-        docs.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(members), asc=False).alias("members"), word_count(F.col(text_col)).alias("size"), rank.alias("rank"))
-    )
+    rows = ws.cut(docs.select(pattern(sources).alias("members"), word_count(F.col(text_col)).alias("size"), rank(id_col, seed).alias("rank")))
     found = rows.groupBy("members").agg(F.sum("size").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found.sort(key=lambda r: [(s is not None, s or "") for s in r["members"]])
     names = sorted({s for r in found for s in r["members"] if s is not None}) + [None] * any(None in r["members"] for r in found)
     sizes = {s: sum(r["tokens"] for r in found if s in r["members"]) for s in names}
     wanted = targets(sizes, weights, most)
@@ -121,25 +114,69 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     patterns = [(tuple(number[s] for s in r["members"]), r["tokens"]) for r in found]
     flows = route(patterns, [round(wanted[s]) for s in names], most)
 
-    plan, routed = [], [0] * len(names)
+    copies, routed = [], [0] * len(names)
     for r, (members_of, tokens), sent in zip(found, patterns, flows, strict=True):
         for s, amount in zip(members_of, sent, strict=True):
             routed[s] += amount
         whole, rest = divmod(sum(sent), tokens) if tokens else (0, 0)
-        plan.append((r["members"], whole, rest))
-    plan = F.broadcast(spark.createDataFrame(plan, "of array<string>, whole long, rest long"))
-    rows_of = rows.join(plan, F.col("members").eqNullSafe(F.col("of"))).drop("of")
+        copies.append((r["members"], whole, rest))
+    copies = F.broadcast(spark.createDataFrame(copies, "of array<string>, whole long, rest long"))
+    same = F.col("members").eqNullSafe(F.col("of"))
 
-    # running totals in rank order, in two steps: over the 4,096 leading digits of a pattern, and inside each
+    # the rank up to which the rest is filled, in two steps: over the 4,096 leading digits, and inside the one that overflows
     digits = F.substring("rank", 1, 3)
-    rows_of = rows_of.withColumn("digits", digits)
-    sums = rows_of.groupBy("members", "digits").agg(F.sum("size").alias("tokens"))
-    before = sums.withColumn("before", F.sum("tokens").over(Window.partitionBy("members").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("members").alias("m"), F.col("digits").alias("g"), F.coalesce("before", F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("members", "digits").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    ranked = rows_of.withColumn("inside", inside).join(before, F.col("members").eqNullSafe(F.col("m")) & (F.col("digits") == F.col("g")))
-    more = (2 * (F.col("before") + F.col("inside")) + F.col("size") <= 2 * F.col("rest")).cast("long")
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.col("whole") + more, F.lit(most))).cast("long")
-    out = ranked.select("id", "members", "size", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    sums = rows.groupBy("members", digits.alias("digits")).agg(F.sum("size").alias("tokens"))
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("members").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ws.cut(sums.withColumn("before", before).join(copies, same).select("of", "digits", "before", "tokens", "rest"))
+    full = sums.where("before + tokens <= rest").groupBy("of").agg(F.max(F.concat("digits", F.lit("g"))).alias("cut"))
+    split = F.broadcast(sums.where("before < rest and before + tokens > rest").select("of", F.col("digits").alias("at"), "before", "rest"))
+    inside = rows.join(split, same & (digits == F.col("at"))).groupBy("of", "before", "rest", "rank").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("of").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    part = inside.withColumn("inside", upto).where("2 * (before + inside) + size <= 2 * rest").groupBy("of").agg(F.max("rank").alias("cut"))
+    cuts = full.unionAll(part).groupBy("of").agg(F.max("cut").alias("cut")).withColumnRenamed("of", "cut_of")
+    chosen = ws.cut(copies.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").select("of", "whole", F.coalesce("cut", F.lit("")).alias("cut")))
     about = spark.createDataFrame([(s, sizes[s], wanted[s], routed[number[s]]) for s in names], "source string, source_size long, target double, routed long")
-    return out, about
+    return chosen, about
+
+
+def pattern(sources: Column | None) -> Column:
+    members = F.array(F.col("source")) if sources is None else F.coalesce(sources, F.array(F.lit(None).cast("string")))
+    return F.sort_array(F.array_distinct(members), asc=False)
+
+
+def rank(id_col: str, seed: int) -> Column:
+    """The seeded order of rows: hexadecimal digits that depend on the id alone."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+
+
+def copies_of(size: Column, most: int = 3) -> Column:
+    """Copies of a row beside its pattern's ``whole`` and ``cut`` and its own ``rank``."""
+    more = (F.col("rank") <= F.col("cut")).cast("long")
+    return F.when(size == 0, 0).otherwise(F.least(F.col("whole") + more, F.lit(most))).cast("long")
+
+
+def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, sources): what the mix takes of every row, and each source's size, target and routed tokens.
+
+    ``sources`` is an array column of a row's sources (default: the ``source`` column alone; null is a source of its
+    own). ``rows`` has one row per input row: ``id, members, size`` (words, a null text has none), ``copies``
+    (how often the mix takes the row whole) and ``taken = copies * size``; no row is taken more than ``most``
+    times. The selection depends on ids and the seed, so reruns agree; repeated ids of one pattern go together.
+    Rows without words are never taken. An empty table gives empty results, other columns are ignored.
+    """
+    chosen, about = plan(spark, docs, id_col=id_col, text_col=text_col, sources=sources, weights=weights, most=most, seed=seed)
+    rows = docs.select(F.col(id_col).alias("id"), pattern(sources).alias("members"), word_count(F.col(text_col)).alias("size"), rank(id_col, seed).alias("rank"))
+    rows = rows.join(F.broadcast(chosen), F.col("members").eqNullSafe(F.col("of")))
+    out = rows.select("id", "members", "size", copies_of(F.col("size"), most).alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")), about
+
+
+def take(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
+    """The mixed rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
+    chosen, _ = plan(spark, docs, id_col=id_col, text_col=text_col, weights=weights, most=most, seed=seed)
+    chosen = chosen.select(F.col("of").alias("__of"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    wide = docs.withColumn("__members", pattern(None)).withColumn("__rank", rank(id_col, seed))
+    wide = wide.join(F.broadcast(chosen), F.col("__members").eqNullSafe(F.col("__of")))
+    more = F.col("__whole") + (F.col("__rank") <= F.col("__cut")).cast("long")
+    copies = F.when(word_count(F.col(text_col)) == 0, 0).otherwise(F.least(more, F.lit(most))).cast("int")
+    return wide.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(c) for c in docs.columns))

@@ -215,3 +215,18 @@ def similar_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     out = rows.join(of, "d", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     ws.drop(buckets, members, left, tried)
     return out
+
+
+def representatives(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows that are linked, over any number of links, with a row of smaller id.
+
+    Of repeated rows, equal in id and text, one stays. Rows without words stay.
+    """
+    ws = Workspace(spark)
+    found = ws.cut(similar_classes(spark, docs, id_col=id_col, text_col=text_col, size=size, percent=percent))
+    gone = found.where("component_id is not null and not (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    if found.where("n_shingles > 0").groupBy("id").count().where("count > 1").limit(1).count():
+        blank = F.coalesce(F.trim(F.col(text_col)), F.lit("")) == ""
+        kept = kept.where(~blank).dropDuplicates([id_col, text_col]).unionByName(kept.where(blank))
+    return kept
