@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,12 +86,15 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     if "@" not in text and not _DIGIT.search(text):
         return []
     spans = {(a, b): kind for kind, a, b in reversed(base)}
-    taken = sorted(spans)
+    starts, reach = [], []  # of the base spans by start, and the furthest end so far
+    for a, b in sorted(spans):
+        starts.append(a)
+        reach.append(max(b, reach[-1] if reach else 0))
     for m in _MENTION.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".,:;-/ ":
             b -= 1
-        if b - a >= 6 and (_DIGIT.search(text, a, b) or text.find("@", a, b) >= 0) and not any(x < b and a < y for x, y in taken):
+        if b - a >= 6 and (_DIGIT.search(text, a, b) or text.find("@", a, b) >= 0) and not ((k := bisect_left(starts, b)) and reach[k - 1] > a):
             spans[a, b] = -1
     out = []
     for (a, b), kind in sorted(spans.items()):
