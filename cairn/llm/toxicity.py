@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .text import BLOCK, U, arrow_bytes, mix
 from .workspace import text_batches
 
-#: Labelled rows to learn from, per class; chosen by a hash of the id. The driver holds their n-gram counts.
+#: Labelled rows to learn from, per class; chosen by a hash of the id. One task holds their n-gram counts.
 SAMPLE = {0: 6000, 1: 2000}
 BUCKET_BITS = 17
 SHORTEST, LONGEST = 3, 6
@@ -168,6 +168,20 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, index), pa.ListArray.from_arrays(at, share)], ["label", "index", "share"])
 
 
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all bags, as one row. They are ordered by content, not by arrival, so that reruns agree."""
+    found: list[tuple[bytes, bytes, int]] = []
+    for batch in batches:
+        label = batch.column(0).to_numpy()
+        index, share = batch.column(1), batch.column(2)
+        ends = np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy())))
+        i, s = index.flatten().to_numpy(), share.flatten().to_numpy()
+        found += [(i[a:b].tobytes(), s[a:b].tobytes(), int(y)) for a, b, y in zip(ends, ends[1:], label, strict=False)]
+    found.sort()
+    model = fit([np.frombuffer(i, np.int32) for i, _, _ in found], [np.frombuffer(s, np.float32) for _, s, _ in found], np.array([y for _, _, y in found], np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias])], ["weight", "bias"])
+
+
 def is_held_out(id_col: str):
     """Rows that are never learnt from: crc32 of the id as text divisible by 5."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -182,14 +196,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: st
         one = known.where(F.col("label") == label).distinct().orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(most)
         picked = one if picked is None else picked.unionAll(one)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("label", "text").mapInArrow(_bag_rows, "label int, index array<int>, share array<float>").toArrow()
-    index, share = (rows.column(name).combine_chunks() for name in ("index", "share"))
-    flat_i, flat_s = index.flatten().to_numpy(), share.flatten().to_numpy()
-    ends = np.cumsum(np.concatenate(([0], index.value_lengths().to_numpy())))
-    # order by content, not by arrival, so that reruns agree
-    order = sorted(range(rows.num_rows), key=lambda k: (flat_i[ends[k] : ends[k + 1]].tobytes(), flat_s[ends[k] : ends[k + 1]].tobytes()))
-    label = rows.column("label").to_numpy()
-    return fit([flat_i[ends[k] : ends[k + 1]] for k in order], [flat_s[ends[k] : ends[k + 1]] for k in order], np.array([label[k] for k in order], np.int64))
+    rows = texts.join(F.broadcast(picked), "id").select("label", "text").mapInArrow(_bag_rows, "label int, index array<int>, share array<float>")
+    # the bounded sample meets in one task of an executor; the driver gets the weights alone
+    trained = rows.repartition(1).mapInArrow(_fit_rows, "weight binary, bias double").collect()
+    if not trained:
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
+    return Model(np.frombuffer(bytes(trained[0]["weight"]), np.float32), trained[0]["bias"])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
