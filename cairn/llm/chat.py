@@ -92,22 +92,24 @@ def conversations(spark: SparkSession, messages: DataFrame, *, tree: str = "tree
     # jump: the ancestor 2**r hops up; hops and total: of the part of the branch below it
     linked = slim.join(known, ["t", "parent"], "left")
     jump = ws.cut(linked.select("t", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("total")))
-    jumps, count = [jump], jump.count()
-    while jump.where("up is not null").limit(1).count() and (1 << (len(jumps) - 1)) <= count:
-        above = jump.select("t", F.col("node").alias("up"), F.col("up").alias("far"), F.col("hops").alias("h"), F.col("total").alias("s"))
-        wide = jump.join(above, ["t", "up"], "left")
-        jump = ws.cut(wide.select("t", "node", F.col("far").alias("up"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")))
-        jumps.append(jump)
+    # only messages that have not reached their root take part in a round, so a few deep trees cost no more than themselves
+    done, active, jumps, count = jump.where("up is null"), jump.where("up is not null"), [], jump.count()
+    while active.limit(1).count() and (1 << len(jumps)) <= count:
+        jumps.append(active)
+        above = done.unionAll(active).select("t", F.col("node").alias("up"), F.col("up").alias("far"), F.col("hops").alias("h"), F.col("total").alias("s"))
+        wide = active.join(above, ["t", "up"])
+        step = ws.cut(wide.select("t", "node", F.col("far").alias("up"), (F.col("hops") + F.col("h")).alias("hops"), (F.col("total") + F.col("s")).alias("total")))
+        done, active = done.unionAll(step.where("up is null")), step.where("up is not null")
     parents = slim.select("t", F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = jump.where("up is null").join(parents, ["t", "node"], "left_anti").withColumn("mean", F.col("total") / F.col("hops"))
+    leaves = done.join(parents, ["t", "node"], "left_anti").withColumn("mean", F.col("total") / F.col("hops"))
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.col("mean").desc(), "node")))
     if per_tree is not None:
         ranked = ranked.where(F.col("rank") <= per_tree)
     chosen = ws.cut(ranked.select("t", F.col("node").alias("leaf"), "rank", F.col("mean").alias("score")))
 
     path = chosen.select("t", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("above"))
-    for r, table in enumerate(jumps[:-1]):
-        far = path.join(table.select("t", "node", "up"), ["t", "node"]).where("up is not null")
+    for r, table in enumerate(jumps):
+        far = path.join(table.select("t", "node", "up"), ["t", "node"])
         path = ws.cut(path.unionAll(far.select("t", "leaf", F.col("up").alias("node"), (F.col("above") + (1 << r)).alias("above"))))
     one = said.groupBy("t", "node").agg(F.min("turn").alias("turn"), F.first("tree").alias("tree"))
     told = path.join(one, ["t", "node"]).groupBy("t", "leaf").agg(
