@@ -104,8 +104,8 @@ def digest(grams: np.ndarray) -> int:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(g), digest(g) if len(g) else None) for g in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["id", "n", "d"])
+            sets = [(len(g), digest(g) if len(g) else None) for g in shingle_sets(batch.column(2), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["id", "h", "n", "d"])
 
     return run
 
@@ -149,12 +149,17 @@ def similar_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     linked as copies; a null id never is a component's name unless all its ids are null. Other columns of
     ``docs`` are ignored, an empty table gives an empty result.
     """
+    return _similar(spark, docs, id_col, text_col, size, percent).drop("h")
+
+
+def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``similar_classes`` with ``h``, a hash of the text that tells rows of one id apart."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     text_batches(spark)
     ws = Workspace(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, n long, d long"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long"))
     classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
 
     keys = docs.select("text").where("text is not null").mapInArrow(_keys(size, percent), "key long, d long")
@@ -212,7 +217,7 @@ def similar_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     named = ws.cut(named)
     smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     of = named.join(smallest, "part").select("d", "component_id")
-    out = rows.join(of, "d", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = rows.join(of, "d", "left").select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     ws.drop(buckets, members, left, tried)
     return out
 
@@ -223,10 +228,10 @@ def representatives(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     Of repeated rows, equal in id and text, one stays. Rows without words stay.
     """
     ws = Workspace(spark)
-    found = ws.cut(similar_classes(spark, docs, id_col=id_col, text_col=text_col, size=size, percent=percent))
-    gone = found.where("component_id is not null and not (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    if found.where("n_shingles > 0").groupBy("id").count().where("count > 1").limit(1).count():
-        blank = F.coalesce(F.trim(F.col(text_col)), F.lit("")) == ""
+    found = ws.cut(_similar(spark, docs, id_col, text_col, size, percent))
+    gone = found.where("component_id is not null and not (id <=> component_id)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
+    if found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").limit(1).count():
+        blank = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
         kept = kept.where(~blank).dropDuplicates([id_col, text_col]).unionByName(kept.where(blank))
     return kept
