@@ -14,7 +14,8 @@ too, so that nothing is lost.
 
 Candidates are verified on the exact shingle sets. Documents with equal sets are one class throughout. As
 components are asked for, a bucket first pairs every class with its first and its previous member; pairs that
-are left over are compared only where they still lie in different components.
+are left over are compared only where they still lie in different components, by their parity sketches inside
+the join.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ CHUNK_BITS = 4096
 BROADCAST_IDS = 500_000
 #: Set digests a task remembers, so as to send the keys of copies once; the set is emptied beyond it.
 REMEMBERED = 200_000
+#: 64-bit words of the parity sketch that is kept per class, for comparing the members of a bucket.
+SKETCH_WORDS = 16
+_SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
 @lru_cache(maxsize=16)
@@ -101,11 +105,19 @@ def digest(grams: np.ndarray) -> int:
     return int(mix(both * np.array([3, 5], U)).sum(dtype=U).astype(np.int64))
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set in ``SKETCH_WORDS`` words: a bit is on if an odd number of shingles fall on it."""
+    odd = np.bincount((grams >> U(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(g), digest(g) if len(g) else None) for g in shingle_sets(batch.column(2), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], ["id", "h", "n", "d"])
+            sets = [(len(g), digest(g) if len(g) else None, sketch(g)) for g in shingle_sets(batch.column(2), size)]
+            words = np.array([x[2] for x in sets], np.int64).reshape(len(sets), SKETCH_WORDS)
+            columns = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "h", "n", "d", *_SKETCH])
 
     return run
 
@@ -159,8 +171,8 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     text_batches(spark)
     ws = Workspace(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long"))
-    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
+    rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long, " + ", ".join(f"{w} long" for w in _SKETCH)))
+    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *(F.max(w).alias(w) for w in _SKETCH)))
 
     keys = docs.select("text").where("text is not null").mapInArrow(_keys(size, percent), "key long, d long")
     order = Window.partitionBy("key").orderBy("d")
@@ -205,10 +217,12 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     members = members.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("part"))
     members = ws.cut(members)
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    left = ws.cut(members.join(mixed, "key").join(sized, "d"))
-    a = left.select("key", F.col("d").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    b = left.select("key", F.col("d").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
-    rest = a.join(b, "key").where(F.expr(f"a < b and pa <> pb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+    left = ws.cut(members.join(mixed, "key").join(classes.drop("rep"), "d"))
+    a = left.select("key", F.col("d").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), *(F.col(w).alias(f"a{w}") for w in _SKETCH))
+    b = left.select("key", F.col("d").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), *(F.col(w).alias(f"b{w}") for w in _SKETCH))
+    # all of this is the join's own condition: pairs that fail it are compared in place and never become rows
+    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in _SKETCH)
+    rest = a.join(b, "key").where(F.expr(f"a < b and pa <> pb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"))
     rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more, _ = verified(rest)
     parts = ws.cut(components(ws, links.unionAll(more)))
