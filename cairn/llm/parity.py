@@ -12,7 +12,7 @@ shingles in nearly every set, and only these are keys: if one of two similar set
 holds no difference and is a key of both. Sets that have fewer give keys for all their chunks, empty ones
 too, so that nothing is lost.
 
-Candidates are verified on the exact shingle sets. Documents with equal sets are one class throughout. As
+Candidates whose parity sketches are not too far apart are verified on the exact shingle sets. Documents with equal sets are one class throughout. As
 components are asked for, a bucket first pairs every class with its first and its previous member; pairs that
 are left over are compared only where they still lie in different components, by their parity sketches inside
 the join.
@@ -181,8 +181,8 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
         .where("prev is not null and prev <> d")
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among distinct pairs (a, b) of classes."""
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links among distinct pairs (a, b) of classes, the pairs as a table)."""
         pairs = ws.cut(pairs)
         ends = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct()
         ids = ws.cut(ends.join(classes, "d").where("rep is not null").select(F.col("rep").alias("id")))
@@ -201,12 +201,16 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
         ws.drop(ids)
         return out, pairs
 
-    sized = classes.select("d", "n")
+    def described(rows: DataFrame, end: str) -> DataFrame:
+        """Class rows as one end of a pair: its name, its size and its sketch."""
+        return rows.select(F.col("d").alias(end), F.col("n").alias(f"n{end}"), *(F.col(w).alias(f"{end}{w}") for w in _SKETCH))
+
+    # sizes and sketches that do not rule a link out; a bound, so no link is lost
+    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in _SKETCH)
+    open_ = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Drops pairs whose sizes alone rule a link out."""
-        a, b = sized.select(F.col("d").alias("a"), F.col("n").alias("na")), sized.select(F.col("d").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b")
+        return pairs.join(described(classes, "a"), "a").join(described(classes, "b"), "b").where(open_).select("a", "b")
 
     first = buckets.select(F.least("first", "d").alias("a"), F.greatest("first", "d").alias("b"))
     chain = buckets.select(F.least("prev", "d").alias("a"), F.greatest("prev", "d").alias("b"))
@@ -218,11 +222,9 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     members = ws.cut(members)
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     left = ws.cut(members.join(mixed, "key").join(classes.drop("rep"), "d"))
-    a = left.select("key", F.col("d").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), *(F.col(w).alias(f"a{w}") for w in _SKETCH))
-    b = left.select("key", F.col("d").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), *(F.col(w).alias(f"b{w}") for w in _SKETCH))
+    ends = [left.select("key", F.col("part").alias(f"p{end}"), F.col("d").alias(end), F.col("n").alias(f"n{end}"), *(F.col(w).alias(f"{end}{w}") for w in _SKETCH)) for end in "ab"]
     # all of this is the join's own condition: pairs that fail it are compared in place and never become rows
-    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in _SKETCH)
-    rest = a.join(b, "key").where(F.expr(f"a < b and pa <> pb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"))
+    rest = ends[0].join(ends[1], "key").where(F.expr("a < b and pa <> pb") & open_)
     rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more, _ = verified(rest)
     parts = ws.cut(components(ws, links.unionAll(more)))
