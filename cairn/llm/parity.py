@@ -16,6 +16,9 @@ Candidates whose parity sketches are not too far apart are verified on the exact
 components are asked for, a bucket first pairs every class with its first and its previous member; pairs that
 are left over are compared only where they still lie in different components, by their parity sketches inside
 the join.
+
+Links are counted afterwards: both ends of a link lie in one component, so the members of a component are dealt
+into blocks and every pair of blocks is one task that intersects all its sets exactly. No pair becomes a row.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +45,10 @@ BROADCAST_IDS = 500_000
 REMEMBERED = 200_000
 #: 64-bit words of the parity sketch that is kept per class, for comparing the members of a bucket.
 SKETCH_WORDS = 16
+#: Classes and shingles of a component that a block holds at about most when its links are counted.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
+#: Shingles that are intersected at once; so many ones add up exactly in float32.
+BLOCK_COLUMNS = 2048
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -151,28 +159,62 @@ def _sets(size: int):
     return run
 
 
+def _linked(percent: int):
+    """Rows that the classes of two blocks of one component, or of one block, are linked with in each other."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names, copies, block = (group[c].to_numpy() for c in ("d", "copies", "block"))
+        grams = pa.concat_arrays(group["grams"].chunks)
+        sizes = pc.list_value_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, column, count = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        row, column = np.repeat(np.arange(len(sizes)), sizes)[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        alone = group["lo"][0].as_py() == group["hi"][0].as_py()
+        left = np.flatnonzero(block == group["lo"][0].as_py())
+        right = left if alone else np.flatnonzero(block != group["lo"][0].as_py())
+        common = np.zeros((len(left), len(right)), np.int64)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+            a, b = np.searchsorted(column, [start, start + BLOCK_COLUMNS])
+            held = np.zeros((len(sizes), BLOCK_COLUMNS), np.float32)
+            held[row[a:b], column[a:b] - start] = 1
+            common += (held[left] @ held[right].T).astype(np.int64)
+        linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+        if alone:
+            np.fill_diagonal(linked, False)
+        found = np.zeros(len(sizes), np.int64)
+        found[left] = linked @ copies[right]
+        if not alone:
+            found[right] = copies[left] @ linked
+        return pa.table({"d": pa.array(names), "links": pa.array(found)})
+
+    return run
+
+
 def similar_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``id``, ``n_shingles`` and ``component_id``.
+    """One row per input row: ``id``, ``n_shingles``, ``component_id`` and ``n_links``.
 
     Two rows are linked when ``100 * |A and B| >= percent * |A or B|`` over their distinct word shingles (words
     ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased); ``component_id`` is the smallest id reachable by links, its own
-    included. Null, empty and word-free texts have no shingle, link with nothing and keep their own id.
+    included, and ``n_links`` counts the other rows linked directly, copies included. Null, empty and word-free
+    texts have no shingle, link with nothing and keep their own id.
     Texts with fewer than ``size`` words have one shingle, the whole sequence. Repeated rows stay and are
     linked as copies; a null id never is a component's name unless all its ids are null. Other columns of
     ``docs`` are ignored, an empty table gives an empty result.
     """
-    return _similar(spark, docs, id_col, text_col, size, percent).drop("h")
+    return _similar(spark, docs, id_col, text_col, size, percent, True).drop("h")
 
 
-def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """``similar_classes`` with ``h``, a hash of the text that tells rows of one id apart."""
+def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, counted: bool) -> DataFrame:
+    """``similar_classes`` with ``h``, a hash of the text that tells rows of one id apart; ``n_links`` only if ``counted``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     text_batches(spark)
     ws = Workspace(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long, " + ", ".join(f"{w} long" for w in _SKETCH)))
-    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n"), *(F.max(w).alias(w) for w in _SKETCH)))
+    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), *(F.max(w).alias(w) for w in _SKETCH)))
 
     keys = docs.select("text").where("text is not null").mapInArrow(_keys(size, percent), "key long, d long")
     order = Window.partitionBy("key").orderBy("d")
@@ -181,15 +223,19 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
         .where("prev is not null and prev <> d")
     )
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links among distinct pairs (a, b) of classes, the pairs as a table)."""
-        pairs = ws.cut(pairs)
-        ends = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """The shingle sets (d, grams) of distinct classes."""
         ids = ws.cut(ends.join(classes, "d").where("rep is not null").select(F.col("rep").alias("id")))
         few = ids.count() <= BROADCAST_IDS
         texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
         sets = ws.cut(texts.mapInArrow(_sets(size), "d long, grams array<long>"))
-        sets = sets.dropDuplicates(["d"])
+        ws.drop(ids)
+        return sets.dropDuplicates(["d"])
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links among distinct pairs (a, b) of classes, the pairs as a table)."""
+        pairs = ws.cut(pairs)
+        sets = sets_of(pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct())
         left = pairs.join(sets.select(F.col("d").alias("a"), F.col("grams").alias("ga")), "a")
         full = left.join(sets.select(F.col("d").alias("b"), F.col("grams").alias("gb")), "b")
         common = F.size(F.array_intersect("ga", "gb"))
@@ -198,9 +244,18 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
             .where(F.expr(f"100 * i >= {percent} * (s - i)"))
             .select("a", "b")
         )
-        ws.drop(ids)
         return out, pairs
 
+    def link_counts(parts: DataFrame) -> DataFrame:
+        """(d, links): rows of other classes that a class is linked with."""
+        nodes = ws.cut(parts.select(F.col("node").alias("d"), "component").join(classes.select("d", "n", "copies"), "d"))
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+        dealt = nodes.join(nodes.groupBy("component").agg(blocks.alias("blocks")), "component").withColumn("block", F.expr("pmod(xxhash64(d), blocks)"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0l, blocks - 1)")))
+        dealt = dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "d", "copies")
+        pairs = dealt.join(sets_of(nodes.select("d")), "d").groupBy("component", "lo", "hi")
+        return ws.cut(pairs.applyInArrow(_linked(percent), "d long, links long").groupBy("d").agg(F.sum("links").alias("links")))
+
     def described(rows: DataFrame, end: str) -> DataFrame:
         """Class rows as one end of a pair: its name, its size and its sketch."""
         return rows.select(F.col("d").alias(end), F.col("n").alias(f"n{end}"), *(F.col(w).alias(f"{end}{w}") for w in _SKETCH))
@@ -233,9 +288,13 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     named = ws.cut(named)
     smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     of = named.join(smallest, "part").select("d", "component_id")
-    out = rows.join(of, "d", "left").select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = rows.join(of, "d", "left").select("d", "id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    if counted:
+        counts = classes.select("d", "copies").join(link_counts(parts), "d", "left").select("d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        counts = ws.cut(counts)
+        out = out.join(counts, "d", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     ws.drop(buckets, members, left, tried)
-    return out
+    return out.drop("d")
 
 
 def representatives(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -244,7 +303,7 @@ def representatives(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     Of repeated rows, equal in id and text, one stays. Rows without words stay.
     """
     ws = Workspace(spark)
-    found = ws.cut(_similar(spark, docs, id_col, text_col, size, percent))
+    found = ws.cut(_similar(spark, docs, id_col, text_col, size, percent, False))
     gone = found.where("component_id is not null and not (id <=> component_id)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
     kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
     if found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").limit(1).count():

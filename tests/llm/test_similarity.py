@@ -63,6 +63,22 @@ def test_join_of_empty_null_and_repeated_rows(spark):
     assert parity.representatives(spark, spark.createDataFrame(rows, schema)).count() == 2
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_of_dense_groups_are_all_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(parity, "BLOCK_CLASSES", block)
+    rng = random.Random(11)
+    texts: dict[int, str | None] = {0: None, 1: "", 2: "one", 3: "ONE"}
+    for base in range(3):
+        words_ = [f"v{base}x{k}" for k in range(120)]
+        for _ in range(40):
+            texts[len(texts)] = near(words_, rng, rng.choice([0, 1, 1, 2, 3]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["n_links"] for r in parity.similar_classes(spark, docs, size=3, percent=90).collect()}
+    sets = {i: shingles(t, 3) for i, t in texts.items()}
+    want = {a: sum(a != b and bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    assert got == want and sum(want.values()) > 1000
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.integers(0, 10**6), st.sampled_from([(3, 90), (5, 80), (2, 80)]), st.integers(8, 400))
 def test_similar_sets_always_share_a_key(seed, how, n):
