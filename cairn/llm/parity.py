@@ -39,7 +39,7 @@ from .workspace import Workspace, text_batches
 
 #: Bits of a sketch chunk.
 CHUNK_BITS = 4096
-#: Classes whose texts are fetched by a broadcast of their ids (8 bytes each); beyond it by a shuffled join.
+#: Classes whose texts are fetched by a broadcast of their ids and text hashes (16 bytes each); beyond it by a shuffled join.
 BROADCAST_IDS = 500_000
 #: Set digests a task remembers, so as to send the keys of copies once; the set is emptied beyond it.
 REMEMBERED = 200_000
@@ -151,10 +151,11 @@ def _keys(size: int, percent: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [g for g in shingle_sets(batch.column(0), size) if len(g)]
+            found = {digest(g): g for g in shingle_sets(batch.column(0), size) if len(g)}
+            sets = list(found.values())
             at = np.concatenate(([0], np.cumsum([len(g) for g in sets]))).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([digest(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["d", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["d", "grams"])
 
     return run
 
@@ -203,18 +204,19 @@ def similar_classes(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     linked as copies; a null id never is a component's name unless all its ids are null. Other columns of
     ``docs`` are ignored, an empty table gives an empty result.
     """
-    return _similar(spark, docs, id_col, text_col, size, percent, True).drop("h")
+    return _similar(spark, docs, id_col, text_col, size, percent, True).drop("h", "least_h")
 
 
 def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, counted: bool) -> DataFrame:
-    """``similar_classes`` with ``h``, a hash of the text that tells rows of one id apart; ``n_links`` only if ``counted``."""
+    """``similar_classes`` with ``h``, a hash of the text that tells rows of one id apart, and ``least_h``, the least
+    of a component that has no id at all; ``n_links`` only if ``counted``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     text_batches(spark)
     ws = Workspace(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long, " + ", ".join(f"{w} long" for w in _SKETCH)))
-    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), *(F.max(w).alias(w) for w in _SKETCH)))
+    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("at"), F.max("n").alias("n"), F.count("*").alias("copies"), *(F.max(w).alias(w) for w in _SKETCH)))
 
     keys = docs.select("text").where("text is not null").mapInArrow(_keys(size, percent), "key long, d long")
     order = Window.partitionBy("key").orderBy("d")
@@ -224,10 +226,11 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     )
 
     def sets_of(ends: DataFrame) -> DataFrame:
-        """The shingle sets (d, grams) of distinct classes."""
-        ids = ws.cut(ends.join(classes, "d").where("rep is not null").select(F.col("rep").alias("id")))
+        """The shingle sets (d, grams) of distinct classes, from one row of each (or its repetitions), with an id or without."""
+        ids = ws.cut(ends.join(classes, "d").select(F.col("at.id").alias("at_id"), F.col("at.h").alias("at_h")))
         few = ids.count() <= BROADCAST_IDS
-        texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+        same = (F.col("h") == F.col("at_h")) & F.col("id").eqNullSafe(F.col("at_id"))
+        texts = docs.join(F.broadcast(ids) if few else ids, same, "left_semi").select("text")
         sets = ws.cut(texts.mapInArrow(_sets(size), "d long, grams array<long>"))
         ws.drop(ids)
         return sets.dropDuplicates(["d"])
@@ -276,7 +279,7 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     members = members.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("part"))
     members = ws.cut(members)
     mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    left = ws.cut(members.join(mixed, "key").join(classes.drop("rep"), "d"))
+    left = ws.cut(members.join(mixed, "key").join(classes.drop("rep", "at"), "d"))
     ends = [left.select("key", F.col("part").alias(f"p{end}"), F.col("d").alias(end), F.col("n").alias(f"n{end}"), *(F.col(w).alias(f"{end}{w}") for w in _SKETCH)) for end in "ab"]
     # all of this is the join's own condition: pairs that fail it are compared in place and never become rows
     rest = ends[0].join(ends[1], "key").where(F.expr("a < b and pa <> pb") & open_)
@@ -284,11 +287,11 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     more, _ = verified(rest)
     parts = ws.cut(components(ws, links.unionAll(more)))
 
-    named = classes.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("d", "rep", F.coalesce("component", "d").alias("part"))
+    named = classes.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("d", "rep", "at.h", F.coalesce("component", "d").alias("part"))
     named = ws.cut(named)
-    smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    of = named.join(smallest, "part").select("d", "component_id")
-    out = rows.join(of, "d", "left").select("d", "id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"), F.min("h").alias("least_h"))
+    of = named.join(smallest, "part").select("d", "component_id", F.when(F.col("component_id").isNull(), F.col("least_h")).alias("least_h"))
+    out = rows.join(of, "d", "left").select("d", "id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "least_h")
     if counted:
         counts = classes.select("d", "copies").join(link_counts(parts), "d", "left").select("d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         counts = ws.cut(counts)
@@ -300,11 +303,12 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
 def representatives(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that are linked, over any number of links, with a row of smaller id.
 
-    Of repeated rows, equal in id and text, one stays. Rows without words stay.
+    Of linked rows that all have a null id, the text of the least hash stays. Of repeated rows, equal in id and
+    text, one stays. Rows without words stay.
     """
     ws = Workspace(spark)
     found = ws.cut(_similar(spark, docs, id_col, text_col, size, percent, False))
-    gone = found.where("component_id is not null and not (id <=> component_id)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    gone = found.where("component_id is not null and not (id <=> component_id) or least_h <> h").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
     kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
     if found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").limit(1).count():
         blank = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")

@@ -79,6 +79,17 @@ def test_links_of_dense_groups_are_all_counted(spark, monkeypatch, block):
     assert got == want and sum(want.values()) > 1000
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    words_ = [f"v{k}" for k in range(100)]
+    text = lambda *changed: " ".join(f"x{k}" if k in changed else w for k, w in enumerate(words_))
+    # 7 and 9 are linked only through the row without an id; the last two have no id at all
+    rows = [(7, text(0, 1)), (None, text()), (9, text(98, 99)), (None, "y " + text(*range(40, 100))), (None, text(*range(40, 100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = parity.similar_classes(spark, docs, size=3, percent=93).collect()
+    assert sorted((str(r["id"]), str(r["component_id"]), r["n_links"]) for r in got) == [("7", "7", 1), ("9", "7", 1), ("None", "7", 2), ("None", "None", 1), ("None", "None", 1)]
+    assert sorted(str(r["doc_id"]) for r in parity.representatives(spark, docs, size=3, percent=93).collect()) == ["7", "None"]
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.integers(0, 10**6), st.sampled_from([(3, 90), (5, 80), (2, 80)]), st.integers(8, 400))
 def test_similar_sets_always_share_a_key(seed, how, n):
