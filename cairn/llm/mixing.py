@@ -4,6 +4,10 @@ Documents may belong to several sources. They are aggregated by membership patte
 from patterns to source quotas. A pattern offers its tokens once at cost 0, a second time at cost 1, a third
 time at cost 2 and so on, so repetition is spread before it deepens. The flow of a pattern then becomes
 whole copies of all its documents plus one more copy of a seeded selection of them.
+
+A source that shares no document with another needs no flow: its one pattern fills its quota as far as its repetitions
+reach. Those are planned by distributed aggregates, however many they are; only overlapping patterns and the sources in
+them come to the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Membership patterns that the driver plans for. More raise an error; none is dropped.
+#: Patterns of several sources, and those of the sources in them, that the driver plans for. More raise an error; none is
+#: dropped. Sources that share no document are not counted. Plans of up to so many rows are broadcast.
 MAX_PATTERNS = 20_000
 
 
@@ -99,28 +104,43 @@ def plan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     """(selection, sources): how often each membership pattern is taken, and each source's size, target and tokens.
 
     ``selection`` has ``of`` (the pattern), ``whole`` (copies of all its rows) and ``cut``: rows whose rank is at most
-    ``cut`` are taken once more. At most ``MAX_PATTERNS`` rows, so it can be broadcast and applied without a shuffle.
+    ``cut`` are taken once more. Up to ``MAX_PATTERNS`` rows are broadcast and applied without a shuffle.
     """
     ws = Workspace(spark)
     rows = ws.cut(docs.select(pattern(sources).alias("members"), word_count(F.col(text_col)).alias("size"), rank(id_col, seed).alias("rank")))
-    found = rows.groupBy("members").agg(F.sum("size").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    found.sort(key=lambda r: [(s is not None, s or "") for s in r["members"]])
-    names = sorted({s for r in found for s in r["members"] if s is not None}) + [None] * any(None in r["members"] for r in found)
-    sizes = {s: sum(r["tokens"] for r in found if s in r["members"]) for s in names}
-    wanted = targets(sizes, weights, most)
+    found = ws.cut(rows.groupBy("members").agg(F.sum("size").alias("tokens")))
+    about = ws.cut(_targets(ws, found, weights, most))
+    quota = F.rint("target").cast("long")
+
+    # sources that share documents, and all patterns of theirs
+    shared = ws.cut(found.where("size(members) > 1").select(F.explode("members").alias("shared")).distinct())
+    tied = F.col("source").eqNullSafe(F.col("shared"))
+    single = found.where("size(members) = 1").withColumn("source", F.element_at("members", 1))
+    routed = single.join(shared, tied, "left_semi").select("members", "tokens").unionAll(found.where("size(members) > 1")).limit(MAX_PATTERNS + 1).collect()
+    if len(routed) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of sources that share documents")
+    routed.sort(key=lambda r: [(s is not None, s or "") for s in r["members"]])
+    wanted = {r["source"]: r["quota"] for r in about.join(shared, tied, "left_semi").select("source", quota.alias("quota")).collect()} if routed else {}
+    names = sorted(x for x in wanted if x is not None) + [None] * (None in wanted)
     number = {s: k for k, s in enumerate(names)}
-    patterns = [(tuple(number[s] for s in r["members"]), r["tokens"]) for r in found]
-    flows = route(patterns, [round(wanted[s]) for s in names], most)
-
-    copies, routed = [], [0] * len(names)
-    for r, (members_of, tokens), sent in zip(found, patterns, flows, strict=True):
+    patterns = [(tuple(number[s] for s in r["members"]), r["tokens"]) for r in routed]
+    flows = route(patterns, [wanted[s] for s in names], most)
+    taken, got = [], [0] * len(names)
+    for r, (members_of, tokens), sent in zip(routed, patterns, flows, strict=True):
         for s, amount in zip(members_of, sent, strict=True):
-            routed[s] += amount
-        whole, rest = divmod(sum(sent), tokens) if tokens else (0, 0)
-        copies.append((r["members"], whole, rest))
-    copies = F.broadcast(spark.createDataFrame(copies, "of array<string>, whole long, rest long"))
+            got[s] += amount
+        taken.append((r["members"], sum(sent), tokens))
+    taken = spark.createDataFrame(taken, "of array<string>, sent long, tokens long")
+    got = spark.createDataFrame([(s, got[number[s]]) for s in names], "got_of string, got long")
+
+    named = about.select(F.col("source").alias("named"), F.least(quota, most * F.col("source_size")).alias("sent"))
+    free = single.join(shared, tied, "left_anti").join(named, F.col("source").eqNullSafe(F.col("named"))).select(F.col("members").alias("of"), "sent", "tokens")
+    tokens = F.col("tokens") > 0
+    copies = free.unionAll(taken).select("of", F.when(tokens, F.expr("sent div tokens")).otherwise(0).alias("whole"), F.when(tokens, F.expr("sent % tokens")).otherwise(0).alias("rest"))
+    copies = small(ws.cut(copies))
+    about = about.join(F.broadcast(got.withColumn("tied", F.lit(True))), F.col("source").eqNullSafe(F.col("got_of")), "left")
+    alone = F.least(quota, most * F.col("source_size"))
+    about = about.select("source", "source_size", "target", F.when(F.col("tied"), F.col("got")).otherwise(alone).alias("routed"))
     same = F.col("members").eqNullSafe(F.col("of"))
 
     # the rank up to which the rest is filled, in two steps: over the 4,096 leading digits, and inside the one that overflows
@@ -129,16 +149,47 @@ def plan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("members").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = ws.cut(sums.withColumn("before", before).join(copies, same).select("of", "digits", "before", "tokens", "rest"))
     full = sums.where("before + tokens <= rest").groupBy("of").agg(F.max(F.concat("digits", F.lit("g"))).alias("cut"))
-    split = F.broadcast(sums.where("before < rest and before + tokens > rest").select("of", F.col("digits").alias("at"), "before", "rest"))
+    split = small(sums.where("before < rest and before + tokens > rest").select("of", F.col("digits").alias("at"), "before", "rest"))
     inside = rows.join(split, same & (digits == F.col("at"))).groupBy("of", "before", "rest", "rank").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("of").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     part = inside.withColumn("inside", upto).where("2 * (before + inside) + size <= 2 * rest").groupBy("of").agg(F.max("rank").alias("cut"))
     cuts = full.unionAll(part).groupBy("of").agg(F.max("cut").alias("cut")).withColumnRenamed("of", "cut_of")
     chosen = ws.cut(copies.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").select("of", "whole", F.coalesce("cut", F.lit("")).alias("cut")))
-    about = spark.createDataFrame([(s, sizes[s], wanted[s], routed[number[s]]) for s in names], "source string, source_size long, target double, routed long")
     return chosen, about
 
 
+def _targets(ws: Workspace, found: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``targets`` as a table of ``source, source_size, target``, from the tokens of every pattern."""
+    sizes = found.select(F.explode("members").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").cast("long").alias("source_size"))
+    # numbers in the order of the sources: the task of a range, and the place in it
+    sizes = ws.cut(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()))
+    task, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    before, first = 0, []
+    for r in sizes.groupBy(task.alias("task")).count().orderBy("task").collect():
+        first.append((r["task"], before))
+        before += r["count"]
+    first = F.broadcast(ws.spark.createDataFrame(first, "task long, first long"))
+    numbered = sizes.withColumn("task", task).join(first, "task").withColumn("k", ((F.col("first") + within) % len(weights)).cast("int"))
+    sizes = ws.cut(numbered.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), F.col("k") + 1).cast("long").alias("weight")))
+    whole = sizes.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, share, level = int(whole[0] or 0), int(whole[1] or 0), None
+    left, all_shares = total, share
+    full = F.lit(False)
+    # the level left / share only rises, so what was full stays full
+    while share and (left, share) != level:
+        level = left, share
+        full = F.expr(f"cast(weight as decimal(19,0)) * cast({left} as decimal(19,0)) > cast(source_size as decimal(19,0)) * cast({most * share} as decimal(19,0))")
+        held = sizes.where(full).agg(F.sum("source_size"), F.sum("weight")).first()
+        left, share = total - most * int(held[0] or 0), all_shares - int(held[1] or 0)
+    even = (F.col("weight") * F.lit(left)).cast("double") / F.lit(float(share or 1))
+    return sizes.select("source", "source_size", F.when(full, (most * F.col("source_size")).cast("double")).otherwise(even).alias("target"))
+
+
+def small(plan: DataFrame) -> DataFrame:
+    """The table as one to broadcast if it has at most ``MAX_PATTERNS`` rows."""
+    return F.broadcast(plan) if plan.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS else plan
+
+
 def pattern(sources: Column | None) -> Column:
     members = F.array(F.col("source")) if sources is None else F.coalesce(sources, F.array(F.lit(None).cast("string")))
     return F.sort_array(F.array_distinct(members), asc=False)
@@ -166,7 +217,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     """
     chosen, about = plan(spark, docs, id_col=id_col, text_col=text_col, sources=sources, weights=weights, most=most, seed=seed)
     rows = docs.select(F.col(id_col).alias("id"), pattern(sources).alias("members"), word_count(F.col(text_col)).alias("size"), rank(id_col, seed).alias("rank"))
-    rows = rows.join(F.broadcast(chosen), F.col("members").eqNullSafe(F.col("of")))
+    rows = rows.join(small(chosen), F.col("members").eqNullSafe(F.col("of")))
     out = rows.select("id", "members", "size", copies_of(F.col("size"), most).alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size")), about
 
@@ -176,7 +227,7 @@ def take(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     chosen, _ = plan(spark, docs, id_col=id_col, text_col=text_col, weights=weights, most=most, seed=seed)
     chosen = chosen.select(F.col("of").alias("__of"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
     wide = docs.withColumn("__members", pattern(None)).withColumn("__rank", rank(id_col, seed))
-    wide = wide.join(F.broadcast(chosen), F.col("__members").eqNullSafe(F.col("__of")))
+    wide = wide.join(small(chosen), F.col("__members").eqNullSafe(F.col("__of")))
     more = F.col("__whole") + (F.col("__rank") <= F.col("__cut")).cast("long")
     copies = F.when(word_count(F.col(text_col)) == 0, 0).otherwise(F.least(more, F.lit(most))).cast("int")
     return wide.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(c) for c in docs.columns))

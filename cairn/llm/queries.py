@@ -77,7 +77,7 @@ def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources = mixing.mix(spark, _table(spark, sf_dir, "documents"))
-    sources = F.broadcast(sources.select(F.col("source").alias("of"), "source_size", "target"))
+    sources = mixing.small(sources.select(F.col("source").alias("of"), "source_size", "target"))
     rows = rows.withColumn("source", F.element_at("members", 1)).join(sources, F.col("source").eqNullSafe(F.col("of")))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 

@@ -12,6 +12,8 @@ from brute import WORD, lower, pii as plain_pii
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from cairn.llm import chat, licenses, linefirst, mixing, pieces, pii, sharding, toxicity
 
 ODD = [(None, None, None), (1, None, "a"), (2, "", "a"), (3, " \n\t ", "b"), (4, "x" * 200_000, "b"), (4, "x" * 200_000, "b"), (5, "é 😀 \x00 z", None)]
@@ -177,6 +179,26 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.take(spark, docs.limit(0)).collect() == []
 
 
+def test_mix_of_more_sources_than_the_driver_plans_for(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, " ".join(["w"] * rng.randrange(40)), rng.choice([None, *(f"s{j}" for j in range(30))])) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    mixed, sources = mixing.mix(spark, docs)
+    got = {r["source"]: r for r in sources.collect()}
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for _, _, s in rows}
+    assert {s: (r["source_size"], r["target"]) for s, r in got.items()} == {s: (sizes[s], x) for s, x in mixing.targets(sizes).items()}
+    assert all(r["routed"] == min(round(r["target"]), 3 * r["source_size"]) for r in got.values())
+    few = mixed.collect()
+    # a source that shares documents is routed on the driver beside those that do not
+    both = F.when(F.col("source") == "s1", F.array(F.lit("s1"), F.lit("s2"))).otherwise(F.array("source"))
+    tied = {r["source"]: r for r in mixing.mix(spark, docs, sources=both)[1].collect()}
+    assert tied["s1"]["source_size"] == sizes["s1"] and tied["s2"]["source_size"] == sizes["s1"] + sizes["s2"]
+    assert tied["s1"]["routed"] + tied["s2"]["routed"] <= 3 * tied["s2"]["source_size"] and len(tied) == len(sizes)
+    monkeypatch.undo()
+    assert sorted(map(str, few)) == sorted(map(str, mixing.mix(spark, docs)[0].collect()))
+
+
 def test_license_rules(spark):
     assert len(licenses.rules()) > 200
     scan = licenses.scanner().scan
