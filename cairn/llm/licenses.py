@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import text_batches
+from .workspace import text_slices
 
 #: Phrases whose consecutive words always count, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -232,7 +232,7 @@ _FOUND = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("labe
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scan = scanner().scan
-    for batch in batches:
+    for batch in text_slices(batches, 1):
         rows = [scan(x.as_py() or "") for x in batch.column(1)]
         each = [[{"first": x.first, "last": x.last, "label": x.label, "confidence": x.confidence, "base": x.base} for x in found] for _, found in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array(each, _FOUND)], ["id", "n_words", "found"])
@@ -244,6 +244,5 @@ def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     Words are numbered from 0. Null and empty texts have no words and no detection. Rows are scanned one by one:
     ids may be null or repeated, other columns are ignored, an empty table gives an empty result.
     """
-    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, n_words long, found array<struct<first:bigint,last:bigint,label:string,confidence:double,base:boolean>>")

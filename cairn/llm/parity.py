@@ -5,17 +5,17 @@ shingle, makes the Hamming distance of two sketches a lower bound of the symmetr
 of a sketch are a necessary condition. Two sets of at most ``u`` shingles with Jaccard similarity ``p`` % differ
 in at most ``D = 2u(100 - p)/(100 + p)`` shingles. Documents are dealt into size bands whose bounds grow by
 100/p, so that partners lie in one band or in neighbouring ones; a band's sketch has ``c > D`` chunks of 4,096
-bits, and by the pigeonhole principle some chunk holds no differing shingle. Chunk values are the join keys.
+bits, of which at least ``c - D`` hold no differing shingle. Chunk values are the join keys.
 
-Chunks with few shingles tell little, so ``c`` is chosen to leave at least ``D + 1`` chunks of ``q`` or more
-shingles in nearly every set, and only these are keys: if one of two similar sets has that many, one of them
-holds no difference and is a key of both. Sets that have fewer give keys for all their chunks, empty ones
-too, so that nothing is lost.
+Chunks with few shingles tell little, so only the ``D + 1`` that hold most are keys. If every set takes them in one order of
+all chunk values (falling number of shingles, then hash), two sets with ``c - D`` values in common have one of their first
+``D + 1`` in common, so nothing is lost.
 
-Candidates whose parity sketches are not too far apart are verified on the exact shingle sets. Documents with equal sets are one class throughout. As
-components are asked for, a bucket first pairs every class with its first and its previous member; pairs that
-are left over are compared only where they still lie in different components, by their parity sketches inside
-the join.
+Candidates are compared by parity sketches of a fixed width, then by sketches that grow with the set, and those that
+both leave open are verified on the exact shingle sets. Documents with equal sets are one class throughout. As
+components are asked for, a bucket first pairs every class with its first and its previous member, which are all
+pairs of a bucket of three; in larger ones, pairs that are left over are compared only where they still lie in different
+components, by their sketches inside the join.
 
 Links are counted afterwards: both ends of a link lie in one component, so the members of a component are dealt
 into blocks and every pair of blocks is one task that intersects all its sets exactly. No pair becomes a row.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .text import U, mix, shingle_sets
-from .workspace import Workspace, text_batches
+from .workspace import Workspace, text_slices, unused
 
 #: Bits of a sketch chunk.
 CHUNK_BITS = 4096
@@ -43,8 +43,10 @@ CHUNK_BITS = 4096
 BROADCAST_IDS = 500_000
 #: Set digests a task remembers, so as to send the keys of copies once; the set is emptied beyond it.
 REMEMBERED = 200_000
-#: 64-bit words of the parity sketch that is kept per class, for comparing the members of a bucket.
-SKETCH_WORDS = 16
+#: 64-bit words of the parity sketch that every class has, for comparing the members of a bucket.
+SKETCH_WORDS = 8
+#: Sets from this size on have a second sketch, of one to two bits a shingle.
+WIDE = 256
 #: Classes and shingles of a component that a block holds at about most when its links are counted.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
 #: Shingles that are intersected at once; so many ones add up exactly in float32.
@@ -70,17 +72,21 @@ def _poisson_tail(mean: float, least: int) -> float:
 
 
 @lru_cache(maxsize=4096)
-def layout(band: int, percent: int) -> tuple[int, int, int]:
-    """(D, number of chunks, least shingles of a key) for pairs whose larger set lies in the band."""
+def layout(band: int, percent: int) -> tuple[int, int]:
+    """(D, number of chunks) for pairs whose larger set lies in the band.
+
+    The more chunks, the more there are to choose the ``D + 1`` fullest from, but the fewer shingles each has. So
+    there are as many as leave most sets of the band ``D + 1`` chunks with the largest least number of shingles.
+    """
     first = bands(percent)
     largest, smallest = int(first[band + 1]) - 1, int(first[max(band - 1, 0)])
     most = 2 * largest * (100 - percent) // (100 + percent)
     for least in (5, 4, 3, 2, 1):
         for chunks in range(most + 1, most + 4 + (most + 1) * 2 // 5, max(1, most // 64)):
             share = _poisson_tail(smallest / chunks, least)
-            if chunks * share - 1.5 * math.sqrt(chunks * share * (1 - share)) >= most + 1:
-                return most, chunks, least
-    return most, most + 1, 0
+            if chunks * share >= most + 1:
+                return most, chunks
+    return most, most + 1
 
 
 def chunk_keys(grams: np.ndarray, percent: int) -> np.ndarray:
@@ -89,21 +95,20 @@ def chunk_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     own = int(np.searchsorted(bands(percent), n, "right")) - 1
     found = []
     for band in (own, own + 1):
-        most, chunks, least = layout(band, percent)
+        most, chunks = layout(band, percent)
         if most == 0 or (band > own and n * 100 // percent < bands(percent)[band]):
             continue
         chunk = (grams >> U(32)) * U(chunks) >> U(32)
         start = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
         count = np.diff(np.append(start, n))
-        tag = mix(chunk[start] + U(band << 40))
         bit = mix(chunk * U(CHUNK_BITS) + (grams & U(CHUNK_BITS - 1)) + U(1))
-        sketch = np.bitwise_xor.reduceat(bit, start)
-        strong = count >= least
-        if int(strong.sum()) > most:
-            found.append(mix(sketch[strong] ^ tag[strong]))
-        else:
+        value = np.bitwise_xor.reduceat(bit, start) ^ mix(chunk[start] + U(band << 40))
+        if len(start) <= most:
             empty = np.setdiff1d(np.arange(chunks, dtype=U), chunk[start])
-            found += [mix(sketch ^ tag), mix(mix(empty + U(band << 40)))]
+            value, count = np.concatenate([value, mix(empty + U(band << 40))]), np.append(count, np.zeros(len(empty), np.int64))
+        # 16 bits of falling count and 48 of hash: the order and the key in one
+        order = (U(0xFFFF) - np.minimum(count, 0xFFFF).astype(U)) << U(48) | mix(value) >> U(16)
+        found.append(np.partition(order, most)[: most + 1])
     return np.concatenate(found) if found else np.zeros(0, U)
 
 
@@ -113,19 +118,48 @@ def digest(grams: np.ndarray) -> int:
     return int(mix(both * np.array([3, 5], U)).sum(dtype=U).astype(np.int64))
 
 
+def _parity(grams: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((grams >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
 def sketch(grams: np.ndarray) -> np.ndarray:
     """The parity sketch of a set in ``SKETCH_WORDS`` words: a bit is on if an odd number of shingles fall on it."""
-    odd = np.bincount((grams >> U(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return _parity(grams, 64 * SKETCH_WORDS).view(np.int64)
 
 
-def _signatures(size: int):
+def wide_sketch(grams: np.ndarray) -> bytes | None:
+    """A parity sketch whose bits are a power of two, from one to two a shingle; None for small sets."""
+    return _parity(grams, 1 << len(grams).bit_length()).tobytes() if len(grams) >= WIDE else None
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Distance of two wide sketches; the longer one is folded, which leaves a parity sketch of the same set."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    both = np.bitwise_xor.reduce(x.reshape(-1, size), 0) ^ np.bitwise_xor.reduce(y.reshape(-1, size), 0)
+    return int(np.bitwise_count(both.view(np.uint64)).sum())
+
+
+def _narrowed(percent: int):
+    """Pairs (a, b, na, nb, wa, wb) that their wide sketches, where both have one, do not rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(g), digest(g) if len(g) else None, sketch(g)) for g in shingle_sets(batch.column(2), size)]
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            near = [a is None or b is None or (100 + percent) * apart(a, b) <= (100 - percent) * n for n, a, b in zip(sizes.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _signatures(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 2):
+            sets = [(len(g), digest(g) if len(g) else None, sketch(g), wide_sketch(g)) for g in shingle_sets(batch.column(2), size)]
             words = np.array([x[2] for x in sets], np.int64).reshape(len(sets), SKETCH_WORDS)
-            columns = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words.T)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "h", "n", "d", *_SKETCH])
+            columns = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words.T), pa.array([x[3] for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "h", "n", "d", *_SKETCH, "wide"])
 
     return run
 
@@ -133,7 +167,7 @@ def _signatures(size: int):
 def _keys(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             keys, owners = [], []
             for grams in shingle_sets(batch.column(0), size):
                 if len(grams) and (d := digest(grams)) not in seen:
@@ -150,7 +184,7 @@ def _keys(size: int, percent: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 0):
             found = {digest(g): g for g in shingle_sets(batch.column(0), size) if len(g)}
             sets = list(found.values())
             at = np.concatenate(([0], np.cumsum([len(g) for g in sets]))).astype(np.int32)
@@ -212,11 +246,11 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     of a component that has no id at all; ``n_links`` only if ``counted``."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
-    text_batches(spark)
     ws = Workspace(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long, " + ", ".join(f"{w} long" for w in _SKETCH)))
-    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("at"), F.max("n").alias("n"), F.count("*").alias("copies"), *(F.max(w).alias(w) for w in _SKETCH)))
+    rows = ws.cut(docs.mapInArrow(_signatures(size), "id long, h long, n long, d long, " + ", ".join(f"{w} long" for w in _SKETCH) + ", wide binary"))
+    at = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("at")
+    classes = ws.cut(rows.where("n > 0").groupBy("d").agg(F.min("id").alias("rep"), at, F.max("n").alias("n"), F.count("*").alias("copies"), *(F.max(w).alias(w) for w in (*_SKETCH, "wide"))))
 
     keys = docs.select("text").where("text is not null").mapInArrow(_keys(size, percent), "key long, d long")
     order = Window.partitionBy("key").orderBy("d")
@@ -235,19 +269,18 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
         ws.drop(ids)
         return sets.dropDuplicates(["d"])
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links among distinct pairs (a, b) of classes, the pairs as a table)."""
-        pairs = ws.cut(pairs)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among distinct pairs (a, b, na, nb) of classes: by their wide sketches first, then by their sets."""
+        wides = classes.where("wide is not null").select("d", "wide")
+        small = F.expr(f"least(na, nb) < {WIDE}")
+        both = pairs.where(~small).join(wides.toDF("a", "wa"), "a").join(wides.toDF("b", "wb"), "b").select("a", "b", "na", "nb", "wa", "wb")
+        pairs = ws.cut(pairs.where(small).select("a", "b").unionAll(both.mapInArrow(_narrowed(percent), "a long, b long")))
         sets = sets_of(pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct())
         left = pairs.join(sets.select(F.col("d").alias("a"), F.col("grams").alias("ga")), "a")
         full = left.join(sets.select(F.col("d").alias("b"), F.col("grams").alias("gb")), "b")
         common = F.size(F.array_intersect("ga", "gb"))
-        out = ws.cut(
-            full.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb")).alias("s"))
-            .where(F.expr(f"100 * i >= {percent} * (s - i)"))
-            .select("a", "b")
-        )
-        return out, pairs
+        linked = F.expr(f"100 * i >= {percent} * (s - i)")
+        return ws.cut(full.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb")).alias("s")).where(linked).select("a", "b"))
 
     def link_counts(parts: DataFrame) -> DataFrame:
         """(d, links): rows of other classes that a class is linked with."""
@@ -264,28 +297,33 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
         return rows.select(F.col("d").alias(end), F.col("n").alias(f"n{end}"), *(F.col(w).alias(f"{end}{w}") for w in _SKETCH))
 
     # sizes and sketches that do not rule a link out; a bound, so no link is lost
-    apart = " + ".join(f"bit_count(a{w} ^ b{w})" for w in _SKETCH)
-    open_ = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        return pairs.join(described(classes, "a"), "a").join(described(classes, "b"), "b").where(open_).select("a", "b")
+    far = " + ".join(f"bit_count(a{w} ^ b{w})" for w in _SKETCH)
+    open_ = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({far}) <= {100 - percent} * (na + nb)")
 
     first = buckets.select(F.least("first", "d").alias("a"), F.greatest("first", "d").alias("b"))
     chain = buckets.select(F.least("prev", "d").alias("a"), F.greatest("prev", "d").alias("b"))
-    links, tried = verified(near(first.unionAll(chain).distinct()))
+    tried = first.unionAll(chain).distinct().join(described(classes, "a"), "a").join(described(classes, "b"), "b").where(open_)
+    tried = ws.cut(tried.select("a", "b", "na", "nb"))
+    links = verified(tried)
     parts = ws.cut(components(ws, links))
 
-    members = buckets.select("key", "d").unionAll(buckets.select("key", F.col("first").alias("d"))).distinct()
-    members = members.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("part"))
-    members = ws.cut(members)
-    mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    left = ws.cut(members.join(mixed, "key").join(classes.drop("rep", "at"), "d"))
+    # all pairs of a bucket of three have been tried by now
+    large = buckets.join(buckets.groupBy("key").count().where("count > 2").select("key"), "key")
+    members = ws.cut(large.select("key", "d").unionAll(large.select("key", F.col("first").alias("d")).distinct()))
+    ws.drop(buckets)
+    placed = members.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("part"))
+    placed = ws.cut(placed)
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    left = ws.cut(placed.join(mixed, "key").join(classes.select("d", "n", *_SKETCH), "d"))
+    ws.drop(members, placed)
     ends = [left.select("key", F.col("part").alias(f"p{end}"), F.col("d").alias(end), F.col("n").alias(f"n{end}"), *(F.col(w).alias(f"{end}{w}") for w in _SKETCH)) for end in "ab"]
     # all of this is the join's own condition: pairs that fail it are compared in place and never become rows
     rest = ends[0].join(ends[1], "key").where(F.expr("a < b and pa <> pb") & open_)
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more, _ = verified(rest)
-    parts = ws.cut(components(ws, links.unionAll(more)))
+    rest = ws.cut(rest.select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+    ws.drop(tried, left)
+    more = verified(rest)
+    if more.limit(1).count():
+        parts = ws.cut(components(ws, links.unionAll(more)))
 
     named = classes.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("d", "rep", "at.h", F.coalesce("component", "d").alias("part"))
     named = ws.cut(named)
@@ -296,7 +334,7 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
         counts = classes.select("d", "copies").join(link_counts(parts), "d", "left").select("d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         counts = ws.cut(counts)
         out = out.join(counts, "d", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    ws.drop(buckets, members, left, tried)
+    ws.drop(links, rest, more)
     return out.drop("d")
 
 
@@ -308,8 +346,9 @@ def representatives(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     """
     ws = Workspace(spark)
     found = ws.cut(_similar(spark, docs, id_col, text_col, size, percent, False))
-    gone = found.where("component_id is not null and not (id <=> component_id) or least_h <> h").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
+    gone_id, gone_h = unused("gone_id", docs.columns), unused("gone_h", docs.columns)
+    gone = found.where("component_id is not null and not (id <=> component_id) or least_h <> h").select(F.col("id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_h)), "left_anti")
     if found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").limit(1).count():
         blank = F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
         kept = kept.where(~blank).dropDuplicates([id_col, text_col]).unionByName(kept.where(blank))

@@ -25,13 +25,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import text_batches
+from .workspace import text_slices
 
 SPACE = "▁"
 #: Units a generation of the cache holds; two generations live at once.
-CACHED = 250_000
+CACHED = 125_000
 #: Token pairs whose compatibility is remembered; the memory starts anew beyond it.
-PAIRS = 1_000_000
+PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -241,7 +241,7 @@ def ship(spark: SparkSession, path: str) -> str:
 def _ids(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(name)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             found = [np.array(pieces.encode_text(x.as_py() or "").split(" "), np.int32) for x in batch.column(1)]
             at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))], ["id", "ids"])
@@ -255,7 +255,6 @@ def encode(spark: SparkSession, docs: DataFrame, model: str, *, id_col: str = "d
     Null and empty texts have the end id alone. Rows are encoded one by one: ids may be null or repeated, other
     columns are ignored, an empty table gives an empty result.
     """
-    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_ids(ship(spark, model)), f"id {dict(rows.dtypes)['id']}, ids array<int>")
 
@@ -271,7 +270,6 @@ def _texts(name: str):
 
 def decode(spark: SparkSession, tokens: DataFrame, model: str, *, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """``id, text``: the texts that token ids stand for; null ids give an empty text."""
-    text_batches(spark)
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(_texts(ship(spark, model)), f"id {dict(rows.dtypes)['id']}, text string")
 
@@ -279,7 +277,7 @@ def decode(spark: SparkSession, tokens: DataFrame, model: str, *, id_col: str =
 def _digests(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(name)
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             rows = []
             for x in batch.column(1):
                 ids = pieces.encode_text(x.as_py() or "")
@@ -292,6 +290,5 @@ def _digests(name: str):
 
 def digests(spark: SparkSession, docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256``: encoding and decoding in one pass, told by their digests."""
-    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_digests(ship(spark, model)), f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

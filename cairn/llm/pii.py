@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, text_batches
+from .workspace import Workspace, text_slices, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances a pattern needs, and the share of them that must be of its kind.
@@ -110,7 +110,7 @@ _MENTIONED = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("k", pa.
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches, 2):
         base, found = [], []
         for text in batch.column(2):
             text = text.as_py() or ""
@@ -127,7 +127,6 @@ def find(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     ``xxhash64`` of the text. Base spans are always kept; added spans touch none of them. Null and empty texts have no spans.
     Repeated rows stay, null ids are allowed, other columns are ignored, an empty table gives an empty result.
     """
-    text_batches(spark)
     ws = Workspace(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     span = "array<struct<k:int,s:bigint,e:bigint>>"
@@ -169,22 +168,18 @@ def redact(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     Where spans of two kinds overlap, the earlier and then longer one names the replacement, which covers both.
     Rows, their number and all other columns stay.
     """
-    text_batches(spark)
+    at, digest, spans = (unused(x, docs.columns) for x in ("found_id", "found_digest", "found_spans"))
     found = find(spark, docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0)
-    found = found.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__digest"])
-    wide = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__digest")), "left").drop("__id", "__digest")
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                texts.append(blank_out(text, spans) if spans else text)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    return wide.mapInArrow(run, docs.schema)
+    found = found.select(F.col("id").alias(at), F.col("digest").alias(digest), F.col("spans").alias(spans)).dropDuplicates([at, digest])
+    wide = docs.join(found, F.col(id_col).eqNullSafe(F.col(at)) & (F.xxhash64(text_col) == F.col(digest)), "left")
+
+    @F.arrow_udf("string")
+    def blanked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            yield pa.array([blank_out(t, s) if s else t for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(blanked(text_col, spans))
+    return wide.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def blank_out(text: str, spans: list[dict]) -> str:

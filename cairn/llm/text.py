@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes handled at once. Longer texts are cut at white space, which ends a word anyway.
-BLOCK = 1 << 20
+BLOCK = 256 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:

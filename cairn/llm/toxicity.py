@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import BLOCK, U, arrow_bytes, mix
-from .workspace import text_batches
+from .workspace import text_runs, text_slices
 
 #: Labelled rows to learn from, per class; chosen by a hash of the id. One task holds their n-gram counts.
 SAMPLE = {0: 6000, 1: 2000}
@@ -160,7 +160,7 @@ def fit(index: list[np.ndarray], share: list[np.ndarray], label: np.ndarray) ->
 
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_slices(batches, 1):
         found = bags(batch.column(1))
         at = pa.array(np.concatenate(([0], np.cumsum([len(i) for i, _ in found]))).astype(np.int32))
         index = pa.array(np.concatenate([*(i for i, _ in found), np.zeros(0, np.int32)]))
@@ -172,11 +172,9 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of all bags, as one row. They are ordered by content, not by arrival, so that reruns agree."""
     found: list[tuple[bytes, bytes, int]] = []
     for batch in batches:
-        label = batch.column(0).to_numpy()
-        index, share = batch.column(1), batch.column(2)
-        ends = np.concatenate(([0], np.cumsum(index.value_lengths().to_numpy())))
-        i, s = index.flatten().to_numpy(), share.flatten().to_numpy()
-        found += [(i[a:b].tobytes(), s[a:b].tobytes(), int(y)) for a, b, y in zip(ends, ends[1:], label, strict=False)]
+        for k in range(batch.num_rows):
+            index, share = (batch.column(c)[k].values.to_numpy() for c in (1, 2))
+            found.append((index.tobytes(), share.tobytes(), batch.column(0)[k].as_py()))
     found.sort()
     model = fit([np.frombuffer(i, np.int32) for i, _, _ in found], [np.frombuffer(s, np.float32) for _, s, _ in found], np.array([y for _, _, y in found], np.int64))
     yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias])], ["weight", "bias"])
@@ -189,7 +187,6 @@ def is_held_out(id_col: str):
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most ``SAMPLE`` rows a class that are not held out, first by a hash of the id."""
-    text_batches(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     picked = None
     for label, most in SAMPLE.items():
@@ -210,16 +207,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str =
     A null or empty text has no n-gram and gets the bias alone. Rows are scored one by one; a column of the name
     ``toxicity`` is replaced. An empty table gives an empty result.
     """
-    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = shared.value.scores(batch.column(batch.num_columns - 1))
-            columns = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "toxicity"])
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [shared.value.scores(texts.slice(a, b - a)) for a, b in text_runs(texts)]
+            yield pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())
 
-    rest = [c for c in docs.columns if c != "toxicity"]
-    wide = docs.select(*rest, F.col(text_col).alias("__scored"))
-    schema = docs.select(*rest).schema.add("toxicity", "double")
-    return wide.mapInArrow(run, schema)
+    return docs.drop("toxicity").select("*", scored(docs[text_col]).alias("toxicity"))

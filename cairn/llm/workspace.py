@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
-#: Rows per Arrow batch for operators that hand whole texts to Python: 128 texts of 100 kB are 13 MB.
-TEXT_BATCH = 128
+#: Bytes of text that an operator handles at once. Spark bounds an Arrow batch by 64 MB; a longer text comes alone.
+TEXT_BYTES = 256 << 10
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,11 +30,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
+def text_runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows, first and end, whose texts hold at most ``TEXT_BYTES`` together or are one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+        yield start, end
+        start = end
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows by the texts of a column."""
+    for batch in batches:
+        for start, end in text_runs(batch.column(column)):
+            yield batch.slice(start, end - start)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind it as make it differ from all columns in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Workspace:

@@ -26,6 +26,8 @@ def components(ids: Iterable[int], links: Iterable[tuple[int, int]]) -> dict[int
         return x
 
     for a, b in links:
+        if a == b:
+            continue
         a, b = sorted((root(a), root(b)))
         parent[b] = a
     return {i: root(i) for i in parent}

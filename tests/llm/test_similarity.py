@@ -90,8 +90,8 @@ def test_near_copies_without_ids_are_linked(spark):
     assert sorted(str(r["doc_id"]) for r in parity.representatives(spark, docs, size=3, percent=93).collect()) == ["7", "None"]
 
 
-@settings(deadline=None, max_examples=30)
-@given(st.integers(0, 10**6), st.sampled_from([(3, 90), (5, 80), (2, 80)]), st.integers(8, 400))
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 10**6), st.sampled_from([(3, 90), (5, 80), (2, 80), (5, 60)]), st.integers(8, 1200))
 def test_similar_sets_always_share_a_key(seed, how, n):
     _, percent = how
     rng = np.random.default_rng(seed)
@@ -104,6 +104,8 @@ def test_similar_sets_always_share_a_key(seed, how, n):
         assert np.intersect1d(parity.chunk_keys(a, percent), parity.chunk_keys(b, percent)).size
         apart = sum(int(x).bit_count() for x in (parity.sketch(a).view(np.uint64) ^ parity.sketch(b).view(np.uint64)))
         assert apart <= len(a) + len(b) - 2 * common
+        if min(len(a), len(b)) >= parity.WIDE:
+            assert parity.apart(parity.wide_sketch(a), parity.wide_sketch(b)) <= len(a) + len(b) - 2 * common
 
 
 def test_components_of_chains_stars_and_loops(spark):
