@@ -7,15 +7,16 @@ in at most ``D = 2u(100 - p)/(100 + p)`` shingles. Documents are dealt into size
 100/p, so that partners lie in one band or in neighbouring ones; a band's sketch has ``c > D`` chunks of 4,096
 bits, of which at least ``c - D`` hold no differing shingle. Chunk values are the join keys.
 
-Chunks with few shingles tell little, so only the ``D + 1`` that hold most are keys. If every set takes them in one order of
-all chunk values (falling number of shingles, then hash), two sets with ``c - D`` values in common have one of their first
-``D + 1`` in common, so nothing is lost.
+Chunks with few shingles tell little, so only the ``D + k`` that hold most are keys. If every set takes them in one order of
+all chunk values (falling number of shingles, then hash), two sets with ``c - D`` values in common have ``k`` of their
+first ``D + k`` in common. One key may be shared by chance, three rarely are; so ``k`` is three, but for small sets, whose
+chunks would be empty.
 
-Candidates are compared by parity sketches of a fixed width, then by sketches that grow with the set, and those that
-both leave open are verified on the exact shingle sets. Documents with equal sets are one class throughout. As
-components are asked for, a bucket first pairs every class with its first and its previous member, which are all
-pairs of a bucket of three; in larger ones, pairs that are left over are compared only where they still lie in different
-components, by their sketches inside the join.
+Documents with equal sets are one class throughout. A similar pair either meets in a bucket of more than three classes, or
+``k`` times in buckets of up to three, where all pairs are counted. In the larger ones every class is first paired with the
+hub, the class that stands in most of them; pairs that are left over are compared only where they still lie in different
+components, by their sketches inside the join. Candidates are compared by parity sketches of a fixed width, then by
+sketches that grow with the set, and those that both leave open are verified on the exact shingle sets.
 
 Links are counted afterwards: both ends of a link lie in one component, so the members of a component are dealt
 into blocks and every pair of blocks is one task that intersects all its sets exactly. No pair becomes a row.
@@ -41,6 +42,8 @@ from .workspace import Workspace, text_slices, unused
 CHUNK_BITS = 4096
 #: Classes whose texts are fetched by a broadcast of their ids and text hashes (16 bytes each); beyond it by a shuffled join.
 BROADCAST_IDS = 500_000
+#: Keys that two similar sets have in common at least, but where they differ in fewer than ``FEW`` shingles.
+SHARED, FEW = 3, 8
 #: Set digests a task remembers, so as to send the keys of copies once; the set is emptied beyond it.
 REMEMBERED = 200_000
 #: 64-bit words of the parity sketch that every class has, for comparing the members of a bucket.
@@ -72,21 +75,22 @@ def _poisson_tail(mean: float, least: int) -> float:
 
 
 @lru_cache(maxsize=4096)
-def layout(band: int, percent: int) -> tuple[int, int]:
-    """(D, number of chunks) for pairs whose larger set lies in the band.
+def layout(band: int, percent: int) -> tuple[int, int, int]:
+    """(D, k, number of chunks) for pairs whose larger set lies in the band.
 
-    The more chunks, the more there are to choose the ``D + 1`` fullest from, but the fewer shingles each has. So
-    there are as many as leave most sets of the band ``D + 1`` chunks with the largest least number of shingles.
+    The more chunks, the more there are to choose the ``D + k`` fullest from, but the fewer shingles each has. So
+    there are as many as leave most sets of the band ``D + k`` chunks with the largest least number of shingles.
     """
     first = bands(percent)
     largest, smallest = int(first[band + 1]) - 1, int(first[max(band - 1, 0)])
     most = 2 * largest * (100 - percent) // (100 + percent)
+    again = SHARED if most >= FEW else 1
+    wanted = most + again
     for least in (5, 4, 3, 2, 1):
-        for chunks in range(most + 1, most + 4 + (most + 1) * 2 // 5, max(1, most // 64)):
-            share = _poisson_tail(smallest / chunks, least)
-            if chunks * share >= most + 1:
-                return most, chunks
-    return most, most + 1
+        for chunks in range(wanted, wanted + 3 + wanted * 2 // 5, max(1, most // 64)):
+            if chunks * _poisson_tail(smallest / chunks, least) >= wanted:
+                return most, again, chunks
+    return most, again, wanted
 
 
 def chunk_keys(grams: np.ndarray, percent: int) -> np.ndarray:
@@ -95,7 +99,8 @@ def chunk_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     own = int(np.searchsorted(bands(percent), n, "right")) - 1
     found = []
     for band in (own, own + 1):
-        most, chunks = layout(band, percent)
+        most, again, chunks = layout(band, percent)
+        wanted = most + again
         if most == 0 or (band > own and n * 100 // percent < bands(percent)[band]):
             continue
         chunk = (grams >> U(32)) * U(chunks) >> U(32)
@@ -103,12 +108,12 @@ def chunk_keys(grams: np.ndarray, percent: int) -> np.ndarray:
         count = np.diff(np.append(start, n))
         bit = mix(chunk * U(CHUNK_BITS) + (grams & U(CHUNK_BITS - 1)) + U(1))
         value = np.bitwise_xor.reduceat(bit, start) ^ mix(chunk[start] + U(band << 40))
-        if len(start) <= most:
+        if len(start) < wanted:
             empty = np.setdiff1d(np.arange(chunks, dtype=U), chunk[start])
             value, count = np.concatenate([value, mix(empty + U(band << 40))]), np.append(count, np.zeros(len(empty), np.int64))
-        # 16 bits of falling count and 48 of hash: the order and the key in one
-        order = (U(0xFFFF) - np.minimum(count, 0xFFFF).astype(U)) << U(48) | mix(value) >> U(16)
-        found.append(np.partition(order, most)[: most + 1])
+        # 16 bits of falling count, 47 of hash and one that tells k: the order and the key in one
+        order = (U(0xFFFF) - np.minimum(count, 0xFFFF).astype(U)) << U(48) | mix(value) >> U(17) << U(1) | U(again == 1)
+        found.append(np.partition(order, wanted - 1)[:wanted])
     return np.concatenate(found) if found else np.zeros(0, U)
 
 
@@ -254,10 +259,10 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
 
     keys = docs.select("text").where("text is not null").mapInArrow(_keys(size, percent), "key long, d long")
     order = Window.partitionBy("key").orderBy("d")
-    buckets = ws.cut(
-        keys.select("key", "d", F.lag("d").over(order).alias("prev"), F.first("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
-        .where("prev is not null and prev <> d")
-    )
+    met = keys.select("key", "d", F.lead("d").over(order).alias("next"), F.first("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
+    # one row of each class, the last, and none of a bucket that holds one class only
+    met = met.where("next <> d or next is null and first <> d")
+    buckets = ws.cut(met.select("key", "d", F.lag("d").over(order).alias("prev"), "first", F.count("*").over(Window.partitionBy("key")).alias("size")))
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """The shingle sets (d, grams) of distinct classes, from one row of each (or its repetitions), with an id or without."""
@@ -300,17 +305,21 @@ def _similar(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
     far = " + ".join(f"bit_count(a{w} ^ b{w})" for w in _SKETCH)
     open_ = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({far}) <= {100 - percent} * (na + nb)")
 
-    first = buckets.select(F.least("first", "d").alias("a"), F.greatest("first", "d").alias("b"))
-    chain = buckets.select(F.least("prev", "d").alias("a"), F.greatest("prev", "d").alias("b"))
-    tried = first.unionAll(chain).distinct().join(described(classes, "a"), "a").join(described(classes, "b"), "b").where(open_)
+    # buckets of two and three: all pairs, as often as they meet
+    few = buckets.where("size <= 3 and prev is not null")
+    pair = F.explode(F.expr("if(prev = first, array(struct(first AS a, d AS b)), array(struct(first AS a, d AS b), struct(prev AS a, d AS b)))"))
+    few = few.select("key", pair.alias("pair")).groupBy("pair.a", "pair.b").agg(F.sum(F.expr(f"if(key & 1 = 1, {SHARED}, 1)")).alias("times"))
+    # larger ones: every class with the hub
+    members = ws.cut(buckets.where("size > 3").select("key", "d"))
+    ranked = members.join(members.groupBy("d").agg(F.count("*").alias("degree")), "d")
+    hubs = ranked.groupBy("key").agg(F.max_by("d", F.struct("degree", "d")).alias("hub"))
+    spokes = members.join(hubs, "key").where("d <> hub").select(F.least("hub", "d").alias("a"), F.greatest("hub", "d").alias("b"))
+    tried = few.where(F.col("times") >= SHARED).select("a", "b").unionAll(spokes).distinct().join(described(classes, "a"), "a").join(described(classes, "b"), "b").where(open_)
     tried = ws.cut(tried.select("a", "b", "na", "nb"))
+    ws.drop(buckets)
     links = verified(tried)
     parts = ws.cut(components(ws, links))
 
-    # all pairs of a bucket of three have been tried by now
-    large = buckets.join(buckets.groupBy("key").count().where("count > 2").select("key"), "key")
-    members = ws.cut(large.select("key", "d").unionAll(large.select("key", F.col("first").alias("d")).distinct()))
-    ws.drop(buckets)
     placed = members.join(parts.select(F.col("node").alias("d"), "component"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("part"))
     placed = ws.cut(placed)
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
