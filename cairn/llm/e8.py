@@ -1,13 +1,17 @@
-"""Embedding near-duplicates by E8 lattice hashing.
+"""Embedding near-duplicates by E8 cells.
 
 A table projects unit vectors on ``8 * blocks`` random orthonormal directions, scales and shifts them and decodes
-every eight coordinates to the nearest point of the E8 lattice; the points are the cell. A vector is kept in its
-home cell of every table, and looks for others there and in the neighbouring cells that lie nearest: those one
-of the 240 minimal vectors away in one block or more, by the growth of the squared distance. Pairs that meet
-are verified by their cosine in double precision. With the defaults a pair at cosine 0.9 meets in a table with a
-chance of 0.49, so that 12 tables miss one in about 3,000; closer pairs are missed more rarely still.
-
-Equal vectors are one class, whose copies are counted and never paired.
+every eight coordinates to the nearest point of E8; the points are the cell. A vector is kept in its home cell of every
+table, and looks for others there and in the neighbouring cells that lie nearest: those one of the 240 minimal
+vectors away in one block or more, by the growth of the squared distance. The scale follows the dimension and the
+threshold, so that with the defaults a pair just at the threshold meets in a table with a chance of about 0.3, and 23
+tables miss one in some 3,000; closer pairs are missed more rarely still.
+
+Equal vectors are one class, whose copies are counted and never paired. Everything that is kept in a cell or looks there is
+first paired with the cell's hub, its smallest name; pairs that are left over are compared only where they lie in different
+components. Candidates whose signs do not rule them out are verified by their cosine in double precision. Links are
+counted afterwards: the members of a component are dealt into blocks, and every pair of blocks is one task that takes
+all its cosines. No link becomes a row but those that the hubs gave.
 """
 
 from __future__ import annotations
@@ -19,19 +23,21 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
 from .text import U, mix
 from .workspace import Workspace
 
-TABLES = 12
+TABLES = 23
 BLOCKS = 2
 SCALE = 4.0
-PROBES = 16
-#: Signs of 64 random projections, compared before vectors are fetched; six standard deviations lose nothing in practice.
+PROBES = 4
+#: Signs of 64 random projections, compared before vectors are fetched; a pair at the threshold fails by five standard deviations.
 SIGN_BITS = 64
+#: Classes of a component that a block holds at about most when its links are counted.
+BLOCK_CLASSES = 1024
 
 
 def _minimal() -> np.ndarray:
@@ -60,7 +66,7 @@ def _nearest_d8(x: np.ndarray) -> np.ndarray:
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
-    """Nearest lattice points of rows of eight: the better of the integer and the half-integer coset."""
+    """Nearest E8 points of rows of eight: the better of the integer and the half-integer coset."""
     whole, half = _nearest_d8(x), _nearest_d8(x - 0.5) + 0.5
     return np.where((((x - whole) ** 2).sum(1) <= ((x - half) ** 2).sum(1))[:, None], whole, half)
 
@@ -70,10 +76,9 @@ def _table(table: int, dim: int, blocks: int, scale: float) -> tuple[np.ndarray,
     rng = np.random.default_rng([table, dim, blocks])
     directions = rng.standard_normal((dim, 8 * blocks))
     if dim >= 8 * blocks:
-        directions = np.linalg.qr(directions)[0]
-    else:
-        directions /= np.sqrt(8 * blocks)
-    return directions * scale, rng.random(8 * blocks)
+        directions = np.linalg.qr(directions)[0] * np.sqrt(dim)
+    # every coordinate of a random unit vector now has the same spread in any dimension
+    return directions * (scale / 8), rng.random(8 * blocks)
 
 
 def _cell(points: np.ndarray, table: int, dim: int) -> np.ndarray:
@@ -150,7 +155,9 @@ def _keys(tables: int, blocks: int, scale: float, probes: int):
     return run
 
 
-def _verify(threshold: float):
+def _cosines(threshold: float):
+    """Pairs whose cosine is at least the threshold; vectors of different lengths have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = (c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in (batch.column(2), batch.column(3)))
@@ -166,14 +173,40 @@ def _verify(threshold: float):
     return run
 
 
+def _linked(threshold: float):
+    """Rows that the classes of two blocks of one component, or of one block, are linked with in each other."""
+
+    def run(group: pa.Table) -> pa.Table:
+        copies, block = group["copies"].to_numpy(), group["block"].to_numpy()
+        flat = pa.concat_arrays(group["v"].chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        unit = _unit(flat.reshape(len(copies), -1))
+        low, alone = group["lo"][0].as_py(), group["lo"][0].as_py() == group["hi"][0].as_py()
+        left = np.flatnonzero(block == low)
+        right = left if alone else np.flatnonzero(block != low)
+        product = unit[left] @ unit[right].T
+        linked = product >= threshold
+        # the order of additions may turn the last digit, so what lies at the threshold is added up as pairs are
+        i, j = np.nonzero(np.abs(product - threshold) < 1e-9)
+        linked[i, j] = (unit[left[i]] * unit[right[j]]).sum(1) >= threshold
+        if alone:
+            np.fill_diagonal(linked, False)
+        found = np.zeros(len(copies), np.int64)
+        found[left] = linked @ copies[right]
+        if not alone:
+            found[right] = copies[left] @ linked
+        return pa.table({"d": group["d"], "links": pa.array(found)})
+
+    return run
+
+
 def similar_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE, probes: int = PROBES) -> DataFrame:
     """One row per input row: ``id, n_links, component_id, kept``.
 
     Rows are linked when the cosine of their vectors is at least ``threshold``. ``n_links`` counts the other rows
     linked directly, copies included; ``component_id`` is the smallest id reachable, ``kept`` whether that is the
     row's own id. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
-    do vectors of different lengths. Repeated rows count as copies; a null id is never kept. Other columns are
-    ignored; an empty table gives an empty result.
+    do vectors of different lengths. Repeated rows count as copies; a null id is never kept. Ties at the threshold are links.
+    Other columns are ignored; an empty table gives an empty result. Vectors of any length are whole in one task's memory.
     """
     ws = Workspace(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -181,24 +214,48 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "v
     rows = ws.cut(rows.mapInArrow(_classify, f"id long, d long, v {kind}"))
     classes = ws.cut(rows.where("d is not null").groupBy("d").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
 
-    keys = ws.cut(classes.select("d", "v").mapInArrow(_keys(tables, blocks, scale, probes), "cell long, home boolean, d long, sign long"))
-    home = keys.where("home").select("cell", F.col("d").alias("h"), F.col("sign").alias("hs"))
-    off = np.arccos(threshold) / np.pi
-    most = int(SIGN_BITS * off + 6 * np.sqrt(SIGN_BITS * off * (1 - off)))
-    met = keys.join(home, "cell").where((F.col("d") != F.col("h")) & (F.bit_count(F.col("sign").bitwiseXOR(F.col("hs"))) <= most))
-    pairs = ws.cut(met.select(F.least("d", "h").alias("a"), F.greatest("d", "h").alias("b")).distinct())
+    scale *= np.sqrt(0.1 / max(1 - threshold, 1e-3))
+    keys = ws.cut(classes.select("d", "v").mapInArrow(_keys(tables, blocks, float(scale), probes), "cell long, home boolean, d long, sign long"))
+    hubs = keys.where("home").groupBy("cell").agg(F.min(F.struct("d", "sign")).alias("hub"), F.count("*").alias("homes"))
+    met = keys.join(hubs, "cell").where("homes > 1 or d <> hub.d")
+    met = ws.cut(met.select("cell", "home", "d", "sign", F.col("hub.d").alias("hub"), F.col("hub.sign").alias("hub_sign"), "homes"))
     ws.drop(keys)
-    full = pairs.join(classes.select(F.col("d").alias("a"), F.col("v").alias("u")), "a").join(classes.select(F.col("d").alias("b"), "v"), "b")
-    links = ws.cut(full.select("a", "b", "u", "v").mapInArrow(_verify(threshold), "a long, b long"))
-    ws.drop(pairs)
+    off = np.arccos(threshold) / np.pi
+    most = int(SIGN_BITS * off + 5 * np.sqrt(SIGN_BITS * off * (1 - off)))
+
+    def open_(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(classes.select(F.col("d").alias("a"), F.col("v").alias("u")), "a").join(classes.select(F.col("d").alias("b"), "v"), "b")
+        return ws.cut(full.select("a", "b", "u", "v").mapInArrow(_cosines(threshold), "a long, b long"))
+
+    tried = met.where((F.col("d") != F.col("hub")) & open_("sign", "hub_sign"))
+    tried = ws.cut(tried.select(F.least("d", "hub").alias("a"), F.greatest("d", "hub").alias("b")).distinct())
+    links = verified(tried)
+    parts = ws.cut(components(ws, links))
+
+    crowd = met.where("homes > 1").select("cell", "home", "d", "sign", "hub").join(parts.select(F.col("node").alias("d"), "component"), "d", "left")
+    crowd = ws.cut(crowd.withColumn("part", F.coalesce("component", "d")).drop("component"))
+    home = crowd.where("home and d <> hub").select("cell", F.col("d").alias("h"), F.col("sign").alias("h_sign"), F.col("part").alias("h_part"))
+    rest = crowd.join(home, "cell").where((F.col("d") != F.col("h")) & (F.col("part") != F.col("h_part")) & open_("sign", "h_sign"))
+    rest = rest.select(F.least("d", "h").alias("a"), F.greatest("d", "h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(rest)
+    ws.drop(met, crowd, tried)
+    if more.limit(1).count():
+        parts = ws.cut(components(ws, links.unionAll(more)))
+
+    nodes = ws.cut(parts.select(F.col("node").alias("d"), "component").join(classes.select("d", "copies"), "d"))
+    counts = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("long").alias("blocks"))
+    dealt = nodes.join(counts, "component").withColumn("block", F.expr("pmod(xxhash64(d), blocks)")).withColumn("other", F.explode(F.expr("sequence(0l, blocks - 1)")))
+    dealt = dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "d", "copies").join(classes.select("d", "v"), "d")
+    others = dealt.groupBy("component", "lo", "hi").applyInArrow(_linked(threshold), "d long, links long").groupBy("d").agg(F.sum("links").alias("others"))
 
-    both = links.select(F.col("a").alias("d"), F.col("b").alias("o")).unionAll(links.select(F.col("b").alias("d"), F.col("a").alias("o")))
-    others = both.join(classes.select(F.col("d").alias("o"), "copies"), "o").groupBy("d").agg(F.sum("copies").alias("others"))
-    parts = components(ws, links)
     named = classes.select("d", "rep", "copies").join(others, "d", "left").join(parts.select(F.col("node").alias("d"), "component"), "d", "left")
     named = ws.cut(named.select("d", "rep", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "d").alias("part")))
     smallest = named.groupBy("part").agg(F.min("rep").alias("least"))
     of = named.join(smallest, "part").select("d", "n", "least")
+    ws.drop(links, more, nodes)
     out = rows.select("id", "d").join(of, "d", "left")
     component = F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

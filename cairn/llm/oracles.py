@@ -83,7 +83,7 @@ select conv_id, cast(n_turns as bigint) n_turns, sha256(s) turns_sha256, cast(le
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_e8_lattice": _OP2,
+    "op2_e8_cells": _OP2,
     "op3_line_quality": _OP3,
     "op4_parity_join": _OP4,
     "op6_reply_trees": _OP6,

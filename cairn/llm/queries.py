@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, lattice, licenses, linefirst, mixing, parity, pieces, pii, sharding, toxicity
+from . import chat, e8, licenses, linefirst, mixing, parity, pieces, pii, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,8 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.told("base").cast("binary"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
 
 
-def op2_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lattice.similar_vectors(spark, _table(spark, sf_dir, "embeddings"))
+def op2_e8_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = e8.similar_vectors(spark, _table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
@@ -104,7 +104,7 @@ def op10_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
-    "op2_e8_lattice": op2_e8_lattice,
+    "op2_e8_cells": op2_e8_cells,
     "op3_line_quality": op3_line_quality,
     "op4_parity_join": op4_parity_join,
     "op5_piece_backtracking": op5_piece_backtracking,

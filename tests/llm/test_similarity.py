@@ -6,7 +6,7 @@ from brute import components, shingles, similar
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm import graph, lattice, parity
+from cairn.llm import e8, graph, parity
 from cairn.llm.text import BLOCK, shingle_sets, words
 from cairn.llm.workspace import Workspace
 
@@ -116,12 +116,12 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {r["node"]: r["component"] for r in got} == want
 
 
-def test_nearest_lattice_points_are_nearest():
+def test_nearest_points_are_nearest():
     x = np.random.default_rng(1).normal(size=(300, 8)) * 2
-    point = lattice.nearest_e8(x)
-    assert np.allclose((2 * point) % 1, 0) and np.allclose(point.sum(1) % 2, 0) and len(lattice.MINIMAL) == 240
+    point = e8.nearest_e8(x)
+    assert np.allclose((2 * point) % 1, 0) and np.allclose(point.sum(1) % 2, 0) and len(e8.MINIMAL) == 240
     near_ = ((x - point) ** 2).sum(1)
-    assert (near_[:, None] <= ((x[:, None, :] - point[:, None, :] - lattice.MINIMAL[None]) ** 2).sum(2) + 1e-9).all() and near_.max() <= 1 + 1e-9
+    assert (near_[:, None] <= ((x[:, None, :] - point[:, None, :] - e8.MINIMAL[None]) ** 2).sum(2) + 1e-9).all() and near_.max() <= 1 + 1e-9
 
 
 def test_vectors_against_brute_force(spark):
@@ -131,7 +131,7 @@ def test_vectors_against_brute_force(spark):
     rows += [rows[0].copy(), rows[0].copy(), rows[7] * 3]
     data = [(k, [float(x) for x in v], k) for k, v in enumerate(rows)]
     odd = [(900, None, 0), (901, [0.0] * 64, 0), (902, [float("nan")] * 64, 0), (903, [None] * 64, 0), (904, [1.0, 2.0], 0), (905, [], 0)]
-    got = {r["id"]: r for r in lattice.similar_vectors(spark, spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, n_links int")).collect()}
+    got = {r["id"]: r for r in e8.similar_vectors(spark, spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, n_links int")).collect()}
     unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
     cosine = unit @ unit.T
     links = [(a, b) for a in range(len(rows)) for b in range(a) if cosine[a, b] >= 0.9]
@@ -140,4 +140,4 @@ def test_vectors_against_brute_force(spark):
     if found == len(links):
         assert {k: got[k]["component_id"] for k in range(len(rows))} == components(range(len(rows)), links)
     assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in range(900, 906))
-    assert lattice.similar_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    assert e8.similar_vectors(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
