@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base detectors find emails, IP addresses, payment cards and phone numbers by their form. These are the seeds: the words
+Seeds are entities that their form gives away: emails, IP addresses, payment cards and phone numbers, which the base detectors
+find, and secrets that cannot be anything else (long hexadecimal or mixed codes, keys with a known prefix). The words
 around them are patterns, and every identifier-like mention is an instance. Spark scores the graph of patterns and
-instances in rounds: a pattern is as good as the share of its instances that are known to be of a kind, an
-instance as good as the best patterns it stands in. Patterns of high confidence and support then mark
-mentions that no base detector knows.
+instances in rounds, until no pattern is added: a pattern is as good as the share of its instances that are known to be of
+a kind, an instance as good as the best patterns it stands in. Patterns of high confidence and support then mark
+mentions that no base detector knows: short or odd spellings, and secrets, which are only marked where a pattern
+says so.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace, text_slices, unused
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the base detectors, and all kinds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = KINDS.index("secret")
 #: Distinct instances a pattern needs, and the share of them that must be of its kind.
 SUPPORT = 8
 CONFIDENCE = 0.9
-ROUNDS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,9 +37,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Identifier-like mentions: numbers of seven digits or more, written apart or together, codes of letters and digits, and
-#: addresses in any spelling.
-_MENTION = re.compile(r"[+(]?[0-9](?:[().\x20/:-]{0,2}[0-9]){6,40}|(?<![^\s\"'(=:])(?=[^\s\"'@]{0,63}[0-9@])[^\s\"',;()=]{6,64}")
+#: What may stand between a mention and the words beside it.
+_OPENING, _CLOSING = " \t\n\"'([{<", " \t\n\"')]}>"
+#: Identifier-like mentions, each to its end: numbers of seven digits or more, written apart or together, and words of six
+#: characters or more with a digit or an @ in them.
+_MENTION = re.compile(r"[+(]?[0-9](?:[().\x20/:-]{0,2}[0-9]){6,}+[^\s\"',;()=]*+|(?<![^\s\"'(=:\[{<])[^\s\"',;()=]{6,}+")
+#: Codes that are secrets by their form: seeds of that kind.
+_SEED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{40,}={0,2}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,})")
 
 
 def _luhn(digits: str) -> bool:
@@ -82,7 +90,7 @@ def _shape(word: str) -> str:
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, kind of the base span it touches or -1, instance, patterns) of identifier-like mentions."""
+    """(start, end, kind that its form gives or -1, instance, patterns) of identifier-like mentions; base spans are all of them."""
     if "@" not in text and not _DIGIT.search(text):
         return []
     spans = {(a, b): kind for kind, a, b in reversed(base)}
@@ -92,14 +100,14 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         reach.append(max(b, reach[-1] if reach else 0))
     for m in _MENTION.finditer(text):
         a, b = m.span()
-        while b > a and text[b - 1] in ".,:;-/ ":
+        while b > a and text[b - 1] in ".,:;-/ ]}>":
             b -= 1
         if b - a >= 6 and (_DIGIT.search(text, a, b) or text.find("@", a, b) >= 0) and not ((k := bisect_left(starts, b)) and reach[k - 1] > a):
-            spans[a, b] = -1
+            spans[a, b] = SECRET if _SEED.fullmatch(text, a, b) else -1
     out = []
     for (a, b), kind in sorted(spans.items()):
-        left = [_shape(w) for w in text[max(0, a - 80) : a].split()[-2:]]
-        right = [_shape(w) for w in text[b : b + 60].split()[:1]]
+        left = [_shape(w) for w in text[max(0, a - 80) : a].rstrip(_OPENING).split()[-2:]]
+        right = [_shape(w) for w in text[b : b + 60].lstrip(_CLOSING).split()[:1]]
         patterns = [("l", *left[-1:]), ("ll", *left), ("r", *right), ("lr", *left[-1:], *right)]
         out.append((a, b, kind, _name(text[a:b].lower()), sorted({_name(*p) for p in patterns if all(p[1:]) and len(p) > 1})))
     return out
@@ -124,8 +132,10 @@ def find(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     """``id, digest, base, spans``: per input row the base spans and all spans, as arrays of (k, s, e).
 
     ``k`` numbers ``KINDS``; ``s`` and ``e`` are code points, the end exclusive; arrays are sorted. ``digest`` is
-    ``xxhash64`` of the text. Base spans are always kept; added spans touch none of them. Null and empty texts have no spans.
-    Repeated rows stay, null ids are allowed, other columns are ignored, an empty table gives an empty result.
+    ``xxhash64`` of the text. Base spans are always kept; added spans touch none of them. A mention that good patterns of
+    several kinds mark takes the kind of the best score, of ties the first. Null and empty texts have no spans; texts
+    are read whole, in time that grows with their length. Repeated rows stay, null ids are allowed, other columns are ignored,
+    an empty table gives an empty result.
     """
     ws = Workspace(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
@@ -138,7 +148,7 @@ def find(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     seeds = ws.cut(flat.where("m.k >= 0").select(F.col("m.i").alias("instance"), F.col("m.k").alias("kind"), F.lit(1.0).alias("score")).distinct())
     counts = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     known, good, before = seeds, None, -1
-    for _ in range(ROUNDS):
+    while True:  # scores only rise, so the good patterns only grow, until they are all there are
         mass = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
         scored = mass.join(counts, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score"))
         good = ws.cut(scored.where(F.col("score") >= confidence))
@@ -147,7 +157,8 @@ def find(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
         before = now
         told = edges.join(good, "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"))
         known = ws.cut(told.unionAll(seeds).groupBy("instance", "kind").agg(F.max("score").alias("score")))
-    new = flat.where("m.k < 0").select("id", "digest", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.explode("m.p").alias("pattern"))
+    found = F.col("m.k").isin(-1, SECRET)
+    new = flat.where(found).select("id", "digest", F.col("m.s").alias("s"), F.col("m.e").alias("e"), F.explode("m.p").alias("pattern"))
     new = new.join(good, "pattern").groupBy("id", "digest", "s", "e").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("k"))
     added = new.groupBy("id", "digest").agg(F.collect_list(F.struct("k", "s", "e")).alias("added"))
     added = added.select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), "added")

@@ -19,8 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(spark, _table(spark, sf_dir, "documents"))
-    counts = [F.expr(f"size(filter(base, x -> x.k = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.told("base").cast("binary"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
+    counts = [F.expr(f"size(filter(base, x -> x.k = {k}))").cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.BASE_KINDS)]
+    told = F.sha2(pii.told("base").cast("binary"), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts, told, pii.told("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_e8_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
