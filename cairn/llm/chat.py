@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import TEXT_BYTES, Workspace
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of this template and of others start so; texts never hold them unescaped.
 _CONTROL = re.compile(r"<(?=\||/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])")
-_TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|im_end\|>))*)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -29,7 +28,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 def render(turns: list[tuple[str | None, str | None]]) -> tuple[str, list[tuple[int, int]]]:
@@ -46,23 +45,42 @@ def render(turns: list[tuple[str | None, str | None]]) -> tuple[str, list[tuple[
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of a formatted conversation."""
+    """The (role, text) turns of a formatted conversation, in one pass: no escaped text holds a mark, so the next one ends it."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        line = at
+        while (line := formatted.find("\n", line)) >= 0:
+            back = line
+            while formatted[back - 1] == "\\":
+                back -= 1
+            if (line - back) % 2 == 0:
+                break
+            line += 1
+        end = formatted.find(END + "\n", line)
+        if not formatted.startswith(START, at) or line < 0 or end < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])))
+        at = end + len(END) + 1
     return turns
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations rendered in runs of about ``TEXT_BYTES`` of output."""
+
+    def batch_of(batch: pa.RecordBatch, start: int, told: list) -> pa.RecordBatch:
+        rows = [c.slice(start, len(told)) for c in batch.columns[:4]]
+        return pa.RecordBatch.from_arrays([*rows, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.list_(pa.list_(pa.int64())))], ["tree", "leaf", "rank", "score", "formatted", "loss"])
+
     for batch in batches:
+        start, size, told = 0, 0, []
         for k in range(batch.num_rows):
-            text, spans = render([(x["role"], x["text"]) for x in batch.column(4)[k].as_py()])
-            row = [c.slice(k, 1) for c in batch.columns[:4]]
-            yield pa.RecordBatch.from_arrays([*row, pa.array([text]), pa.array([spans], pa.list_(pa.list_(pa.int64())))], ["tree", "leaf", "rank", "score", "formatted", "loss"])
+            told.append(render([(x["role"], x["text"]) for x in batch.column(4)[k].as_py()]))
+            size += len(told[-1][0])
+            if size >= TEXT_BYTES:
+                yield batch_of(batch, start, told)
+                start, size, told = k + 1, 0, []
+        if told:
+            yield batch_of(batch, start, told)
 
 
 def conversations(spark: SparkSession, messages: DataFrame, *, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = None, per_tree: int | None = 1) -> DataFrame:
@@ -70,7 +88,7 @@ def conversations(spark: SparkSession, messages: DataFrame, *, tree: str = "tree
 
     ``node`` is unique in its tree and not null; a null or unknown ``parent`` makes a root. ``score`` (null: 0)
     is summed along a branch; leaves of a tree rank by the mean, higher first, then by node, and the first ``per_tree``
-    are formatted (None: all). A message below a cycle of parents belongs to no path. Messages repeated with
+    are formatted (None: all). A very long conversation must fit a task; its time grows with its length. A message below a cycle of parents belongs to no path. Messages repeated with
     one node keep the one of smallest role and text. Null trees are a tree, null texts and roles are empty, and
     ``loss`` has the spans of the assistant's texts in code points. Empty tables give empty results; other
     columns are ignored.
