@@ -14,6 +14,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,11 +188,20 @@ class Scanner:
         words = text.encode("utf-8", "replace").translate(_WORDS).split(b" ")
         words = [w for w in words if w]
         joined = " " + b" ".join(words).decode("utf-8", "replace") + " "
-        found = []
+        found: list[Found] = []
+        gaps: np.ndarray | None = None
+
+        def word_at(at: int) -> int:
+            """The word that begins behind the space at a place of the joined text."""
+            nonlocal gaps
+            if gaps is None:
+                gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+            return int(np.searchsorted(gaps, at))
+
         for phrase, label in BASE:
             at = joined.find(f" {phrase} ")
             while at >= 0:
-                first = joined.count(" ", 0, at)
+                first = word_at(at)
                 found.append(Found(first, first + phrase.count(" "), label, 10, 0.9, True))
                 at = joined.find(f" {phrase} ", at + 1)
         seen = {w for _, w in self.automaton.iter(joined)}
@@ -200,7 +210,7 @@ class Scanner:
                 rule = self.rules[k]
                 if len(rule.keywords) == 1 or any(w in seen for w in rule.keywords[1:]):
                     for m in rule.pattern.finditer(joined):
-                        first = joined.count(" ", 0, m.start()) - 1
+                        first = word_at(m.start() - 1)
                         found.append(Found(first, first + m[0].count(" "), rule.label, rule.priority, rule.confidence))
         return len(words), suppress(found)
 
@@ -241,7 +251,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_words, found``: the detections of every whole text, as structs (first, last, label, confidence, base).
 
-    Words are numbered from 0. Null and empty texts have no words and no detection. Rows are scanned one by one:
+    Words are numbered from 0. Detections with equal words keep the one of higher priority, then confidence, then the smaller
+    label. The time grows with the length of a text, which is whole in memory. Null and empty texts have no words and no detection. Rows are scanned one by one:
     ids may be null or repeated, other columns are ignored, an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
