@@ -3,12 +3,12 @@
 Rows are ordered by the 64-bit hash of their text, so that equal texts are neighbours. A size-weighted sample of
 keys gives the quantiles that split this order into many small ranges; a key that fills a range's share of the
 sample gets a range of its own. All ranges are then measured exactly, overfull ones are subdivided by a hash
-of the id, and the pieces are packed into shards in order, by the running total of bytes.
+of the id (rows that are equal in it as well, by their place), and the pieces are packed into shards in order, by the running total of bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -72,8 +72,9 @@ def shard(spark: SparkSession, docs: DataFrame, *, shards: int = 16, id_col: str
     Shards get nearly equal bytes and ``slot`` runs gapless from 0 in each. Equal texts share a shard unless
     they hold more than 1/64 of a shard's bytes; then they are spread over neighbouring shards. A single text larger
     than that moves the balance by its own size at most. The result depends on rows only, not on their
-    order or partitions; rows equal in id and text are interchangeable. Null ids are allowed, other columns
-    are ignored, an empty table gives an empty result.
+    order or partitions, but for large groups of rows equal in id and text, which are interchangeable and are dealt
+    out by their place in the table. Null and repeated ids are allowed, other columns are ignored, an empty table gives an
+    empty result.
     """
     ws = Workspace(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -83,7 +84,7 @@ def shard(spark: SparkSession, docs: DataFrame, *, shards: int = 16, id_col: str
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
     )
-    rows = ws.cut(rows.withColumn("sub", F.xxhash64("id", "key", F.lit(7))))
+    rows = ws.cut(rows.withColumn("sub", F.xxhash64("id", "key", F.lit(7))).withColumn("place", F.monotonically_increasing_id()))
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     if not count:
         return rows.select("id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -117,9 +118,25 @@ def shard(spark: SparkSession, docs: DataFrame, *, shards: int = 16, id_col: str
     parts = F.broadcast(spark.createDataFrame(parts, "range int, parts long"))
     pieces = ranged.join(parts, "range").withColumn("part", F.pmod("sub", "parts")).drop("parts")
 
-    measured = pieces.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+    def measure(pieces: DataFrame) -> list[Row]:
+        return pieces.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+
+    # rows equal in id and text have one hash; where they alone overfill a part, they are dealt out by their place in the table
+    measured = measure(pieces)
+    over = F.greatest(F.col("bytes") / mean_bytes, F.col("rows") / mean_rows)
+    full = [(r["range"], r["part"]) for r in measured if r["rows"] > 1 and max(r["bytes"] / mean_bytes, r["rows"] / mean_rows) > 2]
+    if full:
+        full = F.broadcast(spark.createDataFrame(full, "range int, part long"))
+        equal = pieces.join(full, ["range", "part"]).groupBy("range", "part", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+        # each fills a mean range, so there are no more of them than ranges
+        equal = equal.where((F.col("rows") > 1) & (over > 1)).select("range", "part", "sub", F.least("rows", F.ceil(over)).alias("ways")).collect()
+        if equal:
+            equal = F.broadcast(spark.createDataFrame(equal, "range int, part long, sub long, ways long"))
+            dealt = F.col("part") + F.coalesce(F.pmod(F.xxhash64("place"), "ways"), F.lit(0)) * (1 << 40)
+            pieces = pieces.join(equal, ["range", "part", "sub"], "left").withColumn("part", dealt).drop("ways")
+            measured = measure(pieces)
     placed = pack([(r["range"], r["part"], r["bytes"], r["rows"]) for r in measured], shards, WHOLE * mean_bytes)
     placed = F.broadcast(spark.createDataFrame(placed, "range int, part long, shard int, before long"))
-    order = Window.partitionBy("range", "part").orderBy("key", "sub", "id")
+    order = Window.partitionBy("range", "part").orderBy("key", "sub", "id", "place")
     numbered = pieces.withColumn("at", F.row_number().over(order)).join(placed, ["range", "part"])
     return numbered.select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
