@@ -6,23 +6,24 @@ time at cost 2 and so on, so repetition is spread before it deepens. The flow of
 whole copies of all its documents plus one more copy of a seeded selection of them.
 
 A source that shares no document with another needs no flow: its one pattern fills its quota as far as its repetitions
-reach. Those are planned by distributed aggregates, however many they are; only overlapping patterns and the sources in
-them come to the driver.
+reach. Those are planned by distributed aggregates, however many they are. Sources that share documents fall into groups
+that share none with each other, and the flow of each group is found in a task of its own.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .graph import components
+from .workspace import Workspace, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns of several sources, and those of the sources in them, that the driver plans for. More raise an error; none is
-#: dropped. Sources that share no document are not counted. Plans of up to so many rows are broadcast.
-MAX_PATTERNS = 20_000
+#: Plans of up to so many rows are broadcast; larger ones are joined by a shuffle.
+SMALL = 20_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> dict[str | None, float]:
@@ -96,6 +97,30 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
     return flows
 
 
+def _routes(most: int):
+    """Flows of one group of sources: rows of patterns (members, tokens) and of sources (one member, quota)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        def order(members: list[str | None]) -> list[tuple[bool, str]]:
+            return [(x is not None, x or "") for x in members]
+
+        rows = group.select(["members", "tokens", "quota"]).to_pylist()
+        sources = sorted((r for r in rows if r["quota"] is not None), key=lambda r: order(r["members"]))
+        patterns = sorted((r for r in rows if r["quota"] is None), key=lambda r: order(r["members"]))
+        number = {r["members"][0]: k for k, r in enumerate(sources)}
+        flows = route([(tuple(number[x] for x in r["members"]), r["tokens"]) for r in patterns], [r["quota"] for r in sources], most)
+        got = [0] * len(sources)
+        for r, sent in zip(patterns, flows, strict=True):
+            for x, amount in zip(r["members"], sent, strict=True):
+                got[number[x]] += amount
+        told = [(r["members"], sum(sent), r["tokens"], None, None) for r, sent in zip(patterns, flows, strict=True)]
+        told += [(None, None, None, r["members"][0], got[k]) for k, r in enumerate(sources)]
+        kinds = [pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*told, strict=True), kinds, strict=True)], ["of", "sent", "tokens", "got_of", "got"])
+
+    return run
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -104,7 +129,7 @@ def plan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     """(selection, sources): how often each membership pattern is taken, and each source's size, target and tokens.
 
     ``selection`` has ``of`` (the pattern), ``whole`` (copies of all its rows) and ``cut``: rows whose rank is at most
-    ``cut`` are taken once more. Up to ``MAX_PATTERNS`` rows are broadcast and applied without a shuffle.
+    ``cut`` are taken once more. Up to ``SMALL`` rows are broadcast and applied without a shuffle.
     """
     ws = Workspace(spark)
     rows = ws.cut(docs.select(pattern(sources).alias("members"), word_count(F.col(text_col)).alias("size"), rank(id_col, seed).alias("rank")))
@@ -112,33 +137,29 @@ def plan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     about = ws.cut(_targets(ws, found, weights, most))
     quota = F.rint("target").cast("long")
 
-    # sources that share documents, and all patterns of theirs
-    shared = ws.cut(found.where("size(members) > 1").select(F.explode("members").alias("shared")).distinct())
+    # sources that share documents, and all patterns of theirs, by groups that share none with each other
+    number = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    several = found.where("size(members) > 1")
+    ends = several.select(F.expr("members[0]").alias("head"), F.explode("members").alias("source"))
+    head = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "head"), F.lit("n")))
+    shared = ends.select("source", number.alias("number")).distinct()
+    groups = components(ws, ends.select(head.alias("a"), number.alias("b")))
+    shared = ws.cut(shared.join(groups, F.col("number") == F.col("node")).select(F.col("source").alias("shared"), F.col("component").alias("group")))
     tied = F.col("source").eqNullSafe(F.col("shared"))
     single = found.where("size(members) = 1").withColumn("source", F.element_at("members", 1))
-    routed = single.join(shared, tied, "left_semi").select("members", "tokens").unionAll(found.where("size(members) > 1")).limit(MAX_PATTERNS + 1).collect()
-    if len(routed) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of sources that share documents")
-    routed.sort(key=lambda r: [(s is not None, s or "") for s in r["members"]])
-    wanted = {r["source"]: r["quota"] for r in about.join(shared, tied, "left_semi").select("source", quota.alias("quota")).collect()} if routed else {}
-    names = sorted(x for x in wanted if x is not None) + [None] * (None in wanted)
-    number = {s: k for k, s in enumerate(names)}
-    patterns = [(tuple(number[s] for s in r["members"]), r["tokens"]) for r in routed]
-    flows = route(patterns, [wanted[s] for s in names], most)
-    taken, got = [], [0] * len(names)
-    for r, (members_of, tokens), sent in zip(routed, patterns, flows, strict=True):
-        for s, amount in zip(members_of, sent, strict=True):
-            got[s] += amount
-        taken.append((r["members"], sum(sent), tokens))
-    taken = spark.createDataFrame(taken, "of array<string>, sent long, tokens long")
-    got = spark.createDataFrame([(s, got[number[s]]) for s in names], "got_of string, got long")
+    routed = several.withColumn("source", F.expr("members[0]")).unionByName(single).join(small(shared), tied).select("group", "members", "tokens")
+    wanted = about.join(small(shared), tied).select("group", F.array("source").alias("members"), quota.alias("quota"))
+    both = routed.unionByName(wanted, allowMissingColumns=True)
+    flows = ws.cut(both.groupBy("group").applyInArrow(_routes(most), "of array<string>, sent long, tokens long, got_of string, got long"))
+    taken = flows.where("of is not null").select("of", "sent", "tokens")
+    got = flows.where("of is null").select("got_of", "got")
 
     named = about.select(F.col("source").alias("named"), F.least(quota, most * F.col("source_size")).alias("sent"))
     free = single.join(shared, tied, "left_anti").join(named, F.col("source").eqNullSafe(F.col("named"))).select(F.col("members").alias("of"), "sent", "tokens")
     tokens = F.col("tokens") > 0
     copies = free.unionAll(taken).select("of", F.when(tokens, F.expr("sent div tokens")).otherwise(0).alias("whole"), F.when(tokens, F.expr("sent % tokens")).otherwise(0).alias("rest"))
     copies = small(ws.cut(copies))
-    about = about.join(F.broadcast(got.withColumn("tied", F.lit(True))), F.col("source").eqNullSafe(F.col("got_of")), "left")
+    about = about.join(small(got.withColumn("tied", F.lit(True))), F.col("source").eqNullSafe(F.col("got_of")), "left")
     alone = F.least(quota, most * F.col("source_size"))
     about = about.select("source", "source_size", "target", F.when(F.col("tied"), F.col("got")).otherwise(alone).alias("routed"))
     same = F.col("members").eqNullSafe(F.col("of"))
@@ -186,8 +207,8 @@ def _targets(ws: Workspace, found: DataFrame, weights: tuple[int, ...], most: in
 
 
 def small(plan: DataFrame) -> DataFrame:
-    """The table as one to broadcast if it has at most ``MAX_PATTERNS`` rows."""
-    return F.broadcast(plan) if plan.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS else plan
+    """The table as one to broadcast if it has at most ``SMALL`` rows."""
+    return F.broadcast(plan) if plan.limit(SMALL + 1).count() <= SMALL else plan
 
 
 def pattern(sources: Column | None) -> Column:
@@ -225,9 +246,9 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
 def take(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
     """The mixed rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     chosen, _ = plan(spark, docs, id_col=id_col, text_col=text_col, weights=weights, most=most, seed=seed)
-    chosen = chosen.select(F.col("of").alias("__of"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    wide = docs.withColumn("__members", pattern(None)).withColumn("__rank", rank(id_col, seed))
-    wide = wide.join(small(chosen), F.col("__members").eqNullSafe(F.col("__of")))
-    more = F.col("__whole") + (F.col("__rank") <= F.col("__cut")).cast("long")
+    of, whole, cut, members, place, copy = (unused(x, docs.columns) for x in ("mix_of", "mix_whole", "mix_cut", "mix_members", "mix_rank", "mix_copy"))
+    wide = docs.withColumn(members, pattern(None)).withColumn(place, rank(id_col, seed))
+    wide = wide.join(small(chosen.toDF(of, whole, cut)), F.col(members).eqNullSafe(F.col(of)))
+    more = F.col(whole) + (F.col(place) <= F.col(cut)).cast("long")
     copies = F.when(word_count(F.col(text_col)) == 0, 0).otherwise(F.least(more, F.lit(most))).cast("int")
-    return wide.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(c) for c in docs.columns))
+    return wide.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(c) for c in docs.columns))
