@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -43,6 +44,65 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert pii.blank_out("abcdef", [{"k": 0, "s": 1, "e": 3}, {"k": 2, "s": 2, "e": 5}]) == "a[EMAIL]f"
 
 
+def plain_bootstrap(texts, support, confidence):
+    """The graph of ``pii.find`` with dictionaries: added (kind, start, end) of every text."""
+    found = [(k, m) for k, t in enumerate(texts) for m in pii.mentions(t or "", pii.base_spans(t or ""))]
+    edges = {(p, m[3]) for _, m in found for p in m[4]}
+    size = {p: sum(q == p for q, _ in edges) for p in {p for p, _ in edges}}
+    seeds = {(m[3], m[2]): 1.0 for _, m in found if m[2] >= 0}
+    known, good = dict(seeds), None
+    while True:
+        mass = {}
+        for p, i in edges:
+            for (j, kind), score in known.items():
+                if i == j:
+                    mass[p, kind] = mass.get((p, kind), 0) + score
+        now = {x: v / size[x[0]] for x, v in mass.items() if size[x[0]] >= support and v / size[x[0]] >= confidence}
+        if good is not None and now.keys() == good.keys():
+            break
+        good, known = now, dict(seeds)
+        for p, i in edges:
+            for (q, kind), score in good.items():
+                if p == q:
+                    known[i, kind] = max(known.get((i, kind), 0), score)
+    added = [set() for _ in texts]
+    for k, (a, b, kind, _, patterns) in found:
+        marks = [(score, -of, of) for (p, of), score in good.items() if p in patterns]
+        if kind in (-1, pii.SECRET) and marks:
+            added[k].add((max(marks)[2], a, b))
+    return added
+
+
+def test_pii_graph_equals_a_plain_one(spark):
+    rng = random.Random(12)
+    forms = [lambda: f"+1 (202) 555-{rng.randrange(1000, 9999)}", lambda: f"0202 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", lambda: f"{rng.getrandbits(160):040x}", lambda: f"u{rng.randrange(99)}@host.example.org", lambda: f"AB{rng.randrange(10**6):06d}X"]
+    texts = []
+    for k in range(160):
+        form = rng.choice(forms)
+        lead = rng.choice(["ring", "token =", "mail to", "order no", "key is"])
+        texts.append(f"Some words {lead} \"{form()}\" " + rng.choice(["today", "please", "now"]) + f" and {lead} {rng.choice(forms)()} x{k}")
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    seen = 0
+    for support, confidence in ((3, 0.3), (8, 0.5), (8, 0.9)):
+        want = plain_bootstrap(texts, support, confidence)
+        got = {r["id"]: {tuple(x) for x in r["spans"]} - {tuple(x) for x in r["base"]} for r in pii.find(spark, docs, support=support, confidence=confidence).collect()}
+        assert got == dict(enumerate(want))
+        seen += sum(map(len, want))
+    assert seen > 50
+
+
+def test_pii_secrets_are_marked_where_a_pattern_says_so(spark):
+    rng = random.Random(13)
+    rows = [(k, f'Text with token = "{rng.getrandbits(160):040x}" in line {k}', "s") for k in range(12)]
+    rows += [(50, 'Text with token = "abc123def" again', "s"), (51, f"A digest {rng.getrandbits(160):040x} of a file", "s")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA + ", __id int, found_id int, Found_Spans int")
+    got = {r["id"]: [tuple(x) for x in r["spans"]] for r in pii.find(spark, docs).collect()}
+    assert all(got[k] == [(pii.SECRET, 19, 59)] for k in range(12)) and got[50] == [(pii.SECRET, 19, 28)] and got[51] == []
+    blank = pii.redact(spark, docs)
+    assert blank.columns == docs.columns and {r["doc_id"]: r["text"] for r in blank.collect()}[50] == 'Text with token = "[SECRET]" again'
+
+
 def plain_quality(text):
     words = WORD.findall(text or "")
     seen = {}
@@ -183,7 +243,7 @@ def test_mix_of_more_sources_than_the_driver_plans_for(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(k, " ".join(["w"] * rng.randrange(40)), rng.choice([None, *(f"s{j}" for j in range(30))])) for k in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    monkeypatch.setattr(mixing, "SMALL", 5)
     mixed, sources = mixing.mix(spark, docs)
     got = {r["source"]: r for r in sources.collect()}
     sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for _, _, s in rows}
@@ -219,6 +279,60 @@ def test_license_rules(spark):
     assert {r["n_words"] for r in licenses.scan(spark, docs).collect()} == {0, 1, 3} and licenses.scan(spark, docs.limit(0)).collect() == []
 
 
+def test_suppression_equals_a_comparison_of_all_pairs():
+    rng = random.Random(9)
+
+    def beats(y, x):
+        inside = y.first <= x.first and x.last <= y.last
+        if not inside:
+            return False
+        if (y.first, y.last) != (x.first, x.last):
+            return True
+        return (-y.priority, -y.confidence, y.label) < (-x.priority, -x.confidence, x.label)
+
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randrange(9)):
+            first = rng.randrange(8)
+            found.append(licenses.Found(first, first + rng.randrange(5), rng.choice("abc"), rng.randrange(3), rng.choice([0.5, 0.9]), rng.random() < 0.2))
+        want = {x for x in found if x.base or not any(beats(y, x) for y in found if y != x and (y.label, y.first, y.last, y.priority, y.confidence) != (x.label, x.first, x.last, x.priority, x.confidence))}
+        plain = {(x.first, x.last, x.label, x.base) for x in want if x.base or not any(y.base and y[:5] == x[:5] for y in found)}
+        assert {(x.first, x.last, x.label, x.base) for x in licenses.suppress(found)} >= {x for x in plain if x[3]}
+        assert {x[:3] for x in licenses.suppress(found)} == {x[:3] for x in plain}
+
+
+def test_the_gate_loses_no_rule():
+    rng = random.Random(10)
+    texts = []
+    for label, spdx, name in licenses.FAMILIES:
+        texts += [f"released under the terms of the {n} licence" for n in name.replace("(?:", "").replace(")?", "").replace(")", "").split("|")]
+    texts += [p.replace("(?:", "").replace(")", "").replace("?", "") for p, *_ in licenses.SENTENCES]
+    scanner = licenses.scanner()
+    for text in texts + [" ".join(rng.sample(texts, 3)) for _ in range(100)]:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        joined = " " + " ".join(words) + " "
+        every = []
+        for rule in scanner.rules:
+            for m in rule.pattern.finditer(joined):
+                first = joined.count(" ", 0, m.start()) - 1
+                every.append(licenses.Found(first, first + m[0].count(" "), rule.label, rule.priority, rule.confidence))
+        for phrase, label in licenses.BASE:
+            every += [licenses.Found(k, k + phrase.count(" "), label, 10, 0.9, True) for k in range(len(words)) if words[k : k + phrase.count(" ") + 1] == phrase.split()]
+        assert scanner.scan(text)[1] == licenses.suppress(every), text
+
+
+def test_very_long_texts_take_time_in_proportion():
+    began = time.perf_counter()
+    text = ("word " * 50 + "licensed under the apache license version 2 see ") * 40_000  # 12 MB
+    n, found = licenses.scanner().scan(text)
+    assert n == 58 * 40_000 and sum(x.base for x in found) == 40_000
+    turns = [("user", "a\\ <|b " * 1_200_000), ("assistant", "</s>" * 1_000_000)]
+    assert chat.parse(chat.render(turns)[0]) == turns
+    for odd in ("1 " * 3_000_000 + "a", ",1" * 10 + "1" * 5_000_000 + "a", "x@" * 2_000_000, "+1 " * 2_000_000, "a1" * 3_000_000):
+        pii.mentions(odd, pii.base_spans(odd))
+    assert time.perf_counter() - began < 60
+
+
 def test_contained_detections_go():
     f = licenses.Found
     inner, outer, other = f(2, 3, "gpl", 5, 0.7), f(1, 5, "lgpl", 4, 0.6), f(4, 8, "x", 1, 0.1)
@@ -247,4 +361,10 @@ def test_shards(spark):
     assert all(len(x) == 1 for x in pairs.values())
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard(spark, docs.repartition(7)).collect()))
     assert sharding.shard(spark, docs.limit(0)).collect() == []
+    # 20,000 rows that nothing tells apart, and others: all shards get their share
+    docs = spark.createDataFrame([(None, "copy", "s")] * 20_000 + [(k, f"own {k}", "s") for k in range(2000)], SCHEMA).repartition(4)
+    got = sharding.shard(spark, docs).collect()
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert len(got) == 22_000 and max(abs(x - sum(load) / 16) for x in load) < 0.05 * sum(load) / 16
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in range(16))
     assert sharding.splitters([(1, 1), (2, 50), (3, 1), (9, 9)], 10) == [1, 2, 9]
