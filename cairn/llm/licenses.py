@@ -114,6 +114,66 @@ SENTENCES = (
     ("creativecommons org licenses by nd [1234] [05]", "cc-by-nd", 9, 0.95, "creativecommons org"),
     ("creativecommons org licenses by nc sa [1234] [05]", "cc-by-nc-sa", 9, 0.95, "creativecommons org"),
     ("creativecommons org licenses by nc nd [1234] [05]", "cc-by-nc-nd", 9, 0.95, "creativecommons org"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "mit", 5, 0.6, "merchantability"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions", "mit", 8, 0.85, "substantial portions"),
+    ("except as contained in this notice the names? of .{1,80}? shall not be used in advertising", "x11", 9, 0.95, "used in advertising"),
+    ("the software shall be used for good not evil", "json", 9, 1.0, "good not evil"),
+    ("redistributions of source code must retain the (?:above )?copyright notice", "bsd", 7, 0.8, "must retain the"),
+    ("redistributions in binary form must reproduce the above copyright notice", "bsd", 7, 0.8, "must reproduce the"),
+    ("this product includes software developed by the university of california berkeley", "bsd-4-clause", 9, 0.95, "university of california"),
+    ("this product includes software developed by the openssl project", "openssl", 9, 0.95, "openssl project"),
+    ("this product includes cryptographic software written by eric young", "ssleay", 9, 0.95, "eric young"),
+    ("this product includes software developed by the apache software foundation", "apache-1.1", 8, 0.8, "apache software foundation"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2", 8, 0.85, "as is basis"),
+    ("subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide", "apache-2", 8, 0.8, "each contributor hereby"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", 8, 0.9, "free software you can"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "lgpl", 9, 0.95, "library is free software"),
+    ("you should have received a copy of the gnu general public license", "gpl", 7, 0.85, "received a copy of the gnu"),
+    ("you should have received a copy of the gnu (?:lesser|library) general public license", "lgpl", 8, 0.9, "received a copy of the gnu"),
+    ("you should have received a copy of the gnu affero general public license", "agpl", 8, 0.9, "received a copy of the gnu"),
+    ("interacting with it remotely through a computer network", "agpl-3", 8, 0.85, "remotely through a computer"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl", 9, 0.95, "free documentation"),
+    ("with no invariant sections no front cover texts and no back cover texts", "gfdl", 8, 0.85, "invariant sections"),
+    ("the contents of this file are subject to the mozilla public license version 1 1", "mpl-1.1", 9, 1.0, "mozilla public license"),
+    ("the contents of this file are subject to the terms of the common development and distribution license", "cddl", 9, 1.0, "common development and distribution"),
+    ("the contents of this file are subject to the netscape public license", "npl", 9, 1.0, "netscape public"),
+    ("the contents of this file are subject to the common public attribution license", "cpal", 9, 1.0, "public attribution license"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib", 8, 0.85, "authors be held liable"),
+    ("altered source versions must be plainly marked as such and must not be misrepresented", "zlib", 9, 0.95, "plainly marked as such"),
+    ("this distribution is based on the work of the independent jpeg group", "ijg", 8, 0.85, "independent jpeg group"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "bsl-1", 9, 0.95, "accompanying documentation"),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", "hpnd", 9, 0.9, "without fee is hereby granted"),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "postgresql", 9, 0.95, "without a written agreement"),
+    ("you can do whatever you want with this stuff if we meet some day", "beerware", 9, 1.0, "meet some day"),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl", 7, 0.7, "verbatim or modified"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", 9, 0.95, "anyone is free to copy"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain", "cc0", 9, 0.95, "associated a work"),
+    ("to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", "cc0", 9, 0.95, "neighboring rights"),
+    ("you must give appropriate credit provide a link to the license and indicate if changes were made", "cc-by", 7, 0.7, "appropriate credit"),
+    ("you may not use the material for commercial purposes", "cc-by-nc", 7, 0.7, "commercial purposes"),
+    ("if you remix transform or build upon the material you must distribute your contributions under the same license", "cc-by-sa", 7, 0.7, "same license"),
+    ("if you remix transform or build upon the material you may not distribute the modified material", "cc-by-nd", 7, 0.7, "modified material"),
+    ("made available under the open database license", "odbl", 9, 0.95, "open database"),
+    ("contains information from .{1,80}? which is made available (?:here )?under the open data commons attribution license", "odc-by", 9, 0.95, "open data commons"),
+    ("this font software is licensed under the sil open font license", "ofl", 9, 1.0, "font software"),
+    ("no modified version of the font software may use the reserved font name", "ofl", 9, 0.95, "reserved font name"),
+    ("this license agreement is between the python software foundation", "python-2", 9, 1.0, "python software foundation"),
+    ("this product includes php software freely available from", "php-3", 9, 0.95, "php software"),
+    ("you may redistribute your modifications of the software provided that you place your modifications in the public domain", "ruby", 7, 0.6, "place your modifications"),
+    ("this license governs use of the accompanying software if you use the software you accept this license", "ms-pl", 8, 0.85, "governs use of the accompanying"),
+    ("developed by .{1,120}? university of illinois", "ncsa", 7, 0.7, "university of illinois"),
+    ("this software is governed by the cecill(?: [abc])? license under french law", "cecill", 9, 1.0, "cecill"),
+    ("licensed under the eupl version 1 [12]", "eupl", 9, 1.0, "eupl"),
+    ("licensed under the academic free license version [123] [01]", "afl", 9, 1.0, "academic free"),
+    ("licensed under the open software license version [123] [01]", "osl", 9, 1.0, "open software license"),
+    ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "busl-1.1", 9, 0.95, "non production use"),
+    ("you may not provide the software to third parties as a hosted or managed service", "elastic-2", 9, 0.95, "managed service"),
+    ("make the functionality of the program or a modified version available to third parties as a service", "sspl", 9, 0.95, "third parties as a service"),
+    ("the license does not grant to you and the license does not include the right to sell the software", "commons-clause", 9, 0.95, "right to sell the software"),
+    ("this is (?:an )?unpublished proprietary source code", "proprietary", 7, 0.8, "unpublished proprietary"),
+    ("no part of this (?:publication|work|book) may be reproduced", "all-rights-reserved", 6, 0.7, "may be reproduced"),
+    ("for (?:personal|internal) use only and may not be (?:copied|redistributed|resold)", "proprietary", 6, 0.6, "use only and may not"),
+    ("for non ?commercial (?:research )?(?:and educational )?use only", "non-commercial", 5, 0.6, "use only"),
     ("all rights reserved", "all-rights-reserved", 2, 0.4, "all rights reserved"),
     ("unauthori[sz]ed (?:copying|reproduction|distribution) (?:of this file )?(?:via any medium )?is (?:strictly )?prohibited", "proprietary", 7, 0.8, "unauthori"),
     ("confidential and proprietary", "proprietary", 6, 0.7, "proprietary"),

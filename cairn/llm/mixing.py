@@ -234,7 +234,9 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     own). ``rows`` has one row per input row: ``id, members, size`` (words, a null text has none), ``copies``
     (how often the mix takes the row whole) and ``taken = copies * size``; no row is taken more than ``most``
     times. The selection depends on ids and the seed, so reruns agree; repeated ids of one pattern go together.
-    Rows without words are never taken. An empty table gives empty results, other columns are ignored.
+    Rows without words are never taken. A target lying half-way between two ranks takes the earlier row (ties at half a row's
+    size are taken). Texts are whole, however long; one larger than its source's remaining target moves the sum by half its
+    size at most. An empty table gives empty results, other columns are ignored.
     """
     chosen, about = plan(spark, docs, id_col=id_col, text_col=text_col, sources=sources, weights=weights, most=most, seed=seed)
     rows = docs.select(F.col(id_col).alias("id"), pattern(sources).alias("members"), word_count(F.col(text_col)).alias("size"), rank(id_col, seed).alias("rank"))

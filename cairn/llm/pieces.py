@@ -194,7 +194,10 @@ class Pieces:
     def decode_text(self, ids: str) -> bytes:
         """UTF-8 of the text that decimal ids stand for: control ids vanish, as does one leading space of the first piece."""
         each = ids.split(" ") if ids else []
-        out = b"".join(map(self.bytes.__getitem__, each))
+        try:
+            out = b"".join(map(self.bytes.__getitem__, each))
+        except KeyError:  # ids that are no pieces stand for nothing
+            return self.decode_text(" ".join(i for i in each if i in self.bytes))
         first = next((i for i in each if self.kind[int(i)] != CONTROL), None)
         if first is not None and self.kind[int(first)] == NORMAL and out[:1] == b" ":
             out = out[1:]
@@ -252,7 +255,7 @@ def _ids(name: str):
 def encode(spark: SparkSession, docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids``: the token ids of every whole text, with the end id.
 
-    Null and empty texts have the end id alone. Rows are encoded one by one: ids may be null or repeated, other
+    Null and empty texts have the end id alone. A very long text is encoded whole, in time that grows with its length. Rows are encoded one by one: ids may be null or repeated, other
     columns are ignored, an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -269,7 +272,11 @@ def _texts(name: str):
 
 
 def decode(spark: SparkSession, tokens: DataFrame, model: str, *, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """``id, text``: the texts that token ids stand for; null ids give an empty text."""
+    """``id, text``: the texts that token ids stand for.
+
+    A null array gives an empty text; null ids and ids outside the vocabulary stand for nothing, control ids vanish, bytes
+    that are no UTF-8 become U+FFFD. Rows are decoded one by one, whole; an empty table gives an empty result.
+    """
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(_texts(ship(spark, model)), f"id {dict(rows.dtypes)['id']}, text string")
 

@@ -186,7 +186,13 @@ def is_held_out(id_col: str):
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most ``SAMPLE`` rows a class that are not held out, first by a hash of the id."""
+    """A model from at most ``SAMPLE`` rows a class that are not held out, first by a hash of the id.
+
+    Labels that are null or neither 0 nor 1 and null ids are passed over; a label given twice counts once, an id with
+    both labels is learnt as both, and of documents that share an id all are learnt. Null and empty texts are bags
+    without n-grams. Without labels every score is one half. Texts are whole; a long one has one entry per distinct n-gram
+    bucket, so no bag exceeds 131,072 entries.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     picked = None
     for label, most in SAMPLE.items():
@@ -204,7 +210,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: st
 def score(spark: SparkSession, docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``toxicity``, the probability of label 1 (0 to 1).
 
-    A null or empty text has no n-gram and gets the bias alone. Rows are scored one by one; a column of the name
+    A null or empty text has no n-gram and gets the bias alone. Texts of any length are scored whole, a block at a time. Rows are scored one by one; a column of the name
     ``toxicity`` is replaced. An empty table gives an empty result.
     """
     shared = spark.sparkContext.broadcast(model)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders of the operators called inside each ``scratch``, the innermost last.
+_scratch: list[list[str]] = []
 
 #: Bytes of text that an operator handles at once. Spark bounds an Arrow batch by 64 MB; a longer text comes alone.
 TEXT_BYTES = 256 << 10
@@ -26,7 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        folder = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
     return _own[app]
 
 
@@ -67,6 +74,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
         self._n = 0
+        if _scratch:
+            _scratch[-1].append(self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -77,10 +86,26 @@ class Workspace:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
             path = getattr(table, "_cairn_path", None)
             if path:
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(conf).delete(target, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the intermediate tables of all operators called inside; their results must be written by then.
+
+    Without it the tables stay under the shared folder, as a lazily evaluated result may still need them. For one thread.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)

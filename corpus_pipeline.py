@@ -2,6 +2,10 @@
 
 Toxic documents go, one document of each group of near-duplicates stays, personal data is blanked out, sources are
 mixed to their target weights, and the texts are encoded.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated rows and empty tables: null and empty
+texts count as clean and are no one's copies, but the mix takes nothing without words; of repeated rows one stays; a null
+source is a source of its own; extra columns stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import mixing, parity, pieces, pii, toxicity
-from cairn.llm.workspace import Workspace
+from cairn.llm.workspace import Workspace, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        made = ws.cut(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            made = ws.cut(stage(spark, docs, sf_dir))
         if k:
             ws.drop(docs)
         docs = made

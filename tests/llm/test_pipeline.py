@@ -2,13 +2,16 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
+import public_tokenizers
 import pytest
 from brute import pii as plain_pii
 from brute import similar
 
 import corpus_pipeline
 from cairn.llm import mixing, pii
+from cairn.llm.workspace import scratch, shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,10 +66,36 @@ def test_stages(spark, corpus, tmp_path):
     for source, target in mixing.targets(dict(sizes)).items():
         assert abs(sum(n * words[i][1] for i, n in kept.items() if words[i][0] == source) - target) <= 80
     assert max(kept.values()) <= 3
-    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     final = {r["doc_id"]: r["text"] for r in after["mixing"]}
     rows = docs.collect()
     assert Counter(r["doc_id"] for r in rows) == kept
     assert all(r["ids"] == library.encode(final[r["doc_id"]], add_eos=True) and r["n_tokens"] == len(r["ids"]) for r in rows)
     again = corpus_pipeline.run(spark, corpus)
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
+
+
+def test_odd_corpora(spark, tmp_path):
+    """Empty tables, repeated rows, rows without an id, empty and very long texts."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(300_000))
+    ten = " ".join(f"t{k}" for k in range(40))
+    rows = [(1, ten, "en", "a", 0), (1, ten, "en", "a", 0), (2, ten, "en", "b", 0), (None, ten, None, None, None), (None, None, None, None, None), (3, "", "en", "a", 0), (4, long, "en", "a", 0), (5, long + " end", "en", "b", 0), (6, "other words of a lone text", "en", None, 0)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(1, 0), (6, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r["doc_id"] for r in found}
+    assert ids <= {1, 4, 6} and {1, 6} <= ids | {4} and all(r["n_tokens"] == len(r["ids"]) for r in found)
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("cairn-*"))
+    with scratch(spark):
+        assert pii.find(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet")).count() == len(rows)
+        assert set(folder.glob("cairn-*")) > before
+    assert set(folder.glob("cairn-*")) == before
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "4", "6", "None"]

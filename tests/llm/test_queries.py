@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import duckdb
+import public_tokenizers
 import pytest
 from brute import WORD, lower
 from brute import pii as plain_pii
@@ -14,7 +15,7 @@ from cairn.llm import licenses
 from cairn.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
@@ -88,6 +89,13 @@ def test_shard_query(spark, texts):
     for r in got:
         data = texts[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    widest = max(r["size"] for r in got)
+    assert max(abs(x - sum(load) / 16) for x in load) <= widest + sum(load) / 16 / 64
+    homes = {}
+    for r in got:
+        homes.setdefault(texts[r["doc_id"]], []).append(r)
+    assert all(len({r["shard"] for r in rows}) == 1 for rows in homes.values() if sum(r["size"] for r in rows) <= sum(load) / 16 / 64)
     for shard in range(16):
         mine = [r["slot"] for r in got if r["shard"] == shard]
         assert sorted(mine) == list(range(len(mine)))

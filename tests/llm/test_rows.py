@@ -1,12 +1,14 @@
 """Operators that judge, find, encode and format row by row."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from brute import WORD, lower, pii as plain_pii
@@ -15,7 +17,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, licenses, linefirst, mixing, pieces, pii, sharding, toxicity
+from cairn.llm import chat, licenses, linefirst, mixing, parity, pieces, pii, sharding, toxicity
 
 ODD = [(None, None, None), (1, None, "a"), (2, "", "a"), (3, " \n\t ", "b"), (4, "x" * 200_000, "b"), (4, "x" * 200_000, "b"), (5, "é 😀 \x00 z", None)]
 SCHEMA = "doc_id long, text string, source string"
@@ -132,7 +134,7 @@ def test_quality_counts_and_verdicts(spark):
     assert linefirst.judge(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
@@ -368,3 +370,136 @@ def test_shards(spark):
     assert len(got) == 22_000 and max(abs(x - sum(load) / 16) for x in load) < 0.05 * sum(load) / 16
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in range(16))
     assert sharding.splitters([(1, 1), (2, 50), (3, 1), (9, 9)], 10) == [1, 2, 9]
+
+
+def plain_grams(text):
+    """Byte n-grams of the words with a space at either end."""
+    data = re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", lower(text).encode())
+    return [(b" " + w + b" ")[i : i + n] for w in data.split() for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1) for i in range(len(w) + 3 - n)]
+
+
+def plain_bucket(gram):
+    return (int.from_bytes(gram, "little") * int(toxicity._ODD[len(gram)]) % (1 << 64)) >> (64 - toxicity.BUCKET_BITS)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.none() | st.text(alphabet="abAZ09 .,!é😀\n", max_size=40), min_size=1, max_size=5))
+def test_bags_and_scores_equal_plain_ones(texts):
+    weight = np.random.default_rng(1).normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32)
+    scores = toxicity.Model(weight, 0.3).scores(pa.array(texts, pa.string()))
+    for text, (index, share), score in zip(texts, toxicity.bags(pa.array(texts, pa.string())), scores, strict=True):
+        grams = [plain_bucket(g) for g in plain_grams(text)]
+        want = {b: grams.count(b) / len(grams) for b in grams}
+        assert dict(zip(index.tolist(), share.tolist(), strict=True)) == pytest.approx(want)
+        logit = 0.3 + (sum(float(weight[b]) for b in grams) / len(grams) if grams else 0)
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
+def test_training_equals_a_plain_one(monkeypatch):
+    for name, value in (("BUCKET_BITS", 6), ("EPOCHS", 2), ("BATCH", 4)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = np.random.default_rng(7)
+    index = [np.unique(rng.integers(0, 64, 9)).astype(np.int32) for _ in range(13)] + [np.zeros(0, np.int32)]
+    share = [np.full(len(i), 1 / max(1, len(i)), np.float32) for i in index]
+    label = np.array([k % 2 for k in range(14)])
+    got = toxicity.fit(index, share, label)
+    rng = np.random.default_rng(toxicity.SEED)
+    vectors = rng.normal(0, 0.05, (64, toxicity.DIM)).astype(np.float32).astype(float)
+    weights = rng.normal(0, 0.5, (toxicity.DIM, 2)).astype(np.float32).astype(float)
+    rate = (label.sum() + 0.5) / 15
+    values = [vectors, weights, np.log(np.array([1 - rate, rate]))]
+    first, second, step = [v * 0 for v in values], [v * 0 for v in values], 0
+    for epoch in range(2):
+        order = rng.permutation(14)
+        for k in range(0, 14, 4):
+            rows = [r for r in order[k : k + 4] if len(index[r])]
+            slopes = [v * 0 for v in values]
+            for r in rows:  # one row and one n-gram at a time
+                mean = sum(toxicity.GAIN * s * values[0][i] for i, s in zip(index[r], share[r], strict=True))
+                p = np.exp(mean @ values[1] + values[2])
+                p = p / p.sum()
+                p[label[r]] -= 1
+                p /= len(rows)
+                slopes[1] += np.outer(mean, p)
+                slopes[2] += p
+                for i, s in zip(index[r], share[r], strict=True):
+                    slopes[0][i] += toxicity.GAIN * s * (values[1] @ p)
+            step += 1
+            for q in range(3):
+                first[q] = 0.9 * first[q] + 0.1 * slopes[q]
+                second[q] = 0.99 * second[q] + 0.01 * slopes[q] ** 2
+                pace = toxicity.RATE * (1 - epoch / 2)
+                values[q] = values[q] - pace * toxicity.DECAY * values[q] - pace * (first[q] / (1 - 0.9**step)) / (np.sqrt(second[q] / (1 - 0.99**step)) + 1e-8)
+    assert np.allclose(got.weight, values[0] @ (values[1][:, 1] - values[1][:, 0]) * toxicity.GAIN, atol=2e-3) and got.bias == pytest.approx(values[2][1] - values[2][0], abs=1e-4)
+
+
+def best_flow(patterns, quotas, most):
+    """(flow, cost) of the best of all whole flows, by enumeration."""
+    arcs = [(p, s) for p, (members, _) in enumerate(patterns) for s in members]
+    best = (0, 0)
+    for amounts in itertools.product(*(range(most * patterns[p][1] + 1) for p, _ in arcs)):
+        into, out = [0] * len(quotas), [0] * len(patterns)
+        for (p, s), x in zip(arcs, amounts, strict=True):
+            into[s] += x
+            out[p] += x
+        if all(a <= b for a, b in zip(into, quotas, strict=True)) and all(x <= most * patterns[p][1] for p, x in enumerate(out)):
+            cost = sum(sum(max(0, x - again * patterns[p][1]) for again in range(1, most)) for p, x in enumerate(out))
+            best = max(best, (sum(amounts), -cost))
+    return best
+
+
+def test_flows_are_the_best_of_all():
+    rng = random.Random(14)
+    for _ in range(40):
+        patterns = [(tuple(sorted(rng.sample(range(3), rng.choice([1, 2])))), rng.randrange(1, 3)) for _ in range(3)]
+        quotas = [rng.randrange(6) for _ in range(3)]
+        flows = mixing.route(patterns, quotas, 2)
+        sent = [sum(f) for f in flows]
+        cost = sum(max(0, x - patterns[p][1]) for p, x in enumerate(sent))
+        assert (sum(sent), -cost) == best_flow(patterns, quotas, 2)
+
+
+def test_mix_of_overlapping_sources(spark):
+    rng = random.Random(15)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", None], ["x"], ["y", "z"], ["z"], ["lone"]]
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 9)), rng.choice(kinds), 0, "m") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, origins array<string>, copies int, mix_of string").repartition(3)
+    mixed, about = mixing.mix(spark, docs, sources=F.col("origins"))
+    got, about = mixed.collect(), {r["source"]: r for r in about.collect()}
+    tokens = {}
+    for _, text, members, _, _ in rows:
+        key = tuple(sorted(members, key=lambda x: (x is not None, x or "")))
+        tokens[key] = tokens.get(key, 0) + len(text.split())
+    names = sorted({x for key in tokens for x in key}, key=lambda x: (x is not None, x or ""))
+    sizes = {x: sum(n for key, n in tokens.items() if x in key) for x in names}
+    assert {x: (r["source_size"], r["target"]) for x, r in about.items()} == {x: (sizes[x], pytest.approx(t)) for x, t in mixing.targets(sizes).items()}
+    patterns = [(tuple(names.index(x) for x in key), n) for key, n in tokens.items()]
+    flows = mixing.route(patterns, [round(about[x]["target"]) for x in names], 3)
+    # as much in all and at the same cost as one flow over everything
+    taken = {}
+    for r in got:
+        key = tuple(sorted(r["members"], key=lambda x: (x is not None, x or "")))
+        taken[key] = taken.get(key, 0) + r["taken"]
+    assert abs(sum(taken.values()) - sum(map(sum, flows))) <= 8 * len(tokens) and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert sum(r["routed"] for r in about.values()) == sum(map(sum, flows))
+    again = mixing.mix(spark, docs.repartition(5), sources=F.col("origins"))[0].collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_columns_of_clashing_names(spark):
+    names = ["doc_id", "text", "source", "toxicity", "id", "scored", "found_id", "mix_of", "mix_rank", "gone_id", "Gone_H", "__id", "k", "key", "d"]
+    rows = [(k, f"some words {k % 5} and more of them here mail{k}@x.org", "ab"[k % 2], *["v"] * 12) for k in range(20)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    model = toxicity.Model(np.zeros(1 << toxicity.BUCKET_BITS, np.float32), 0.0)
+    scored = toxicity.score(spark, docs, model)
+    assert sorted(scored.columns) == sorted(names) and {r["toxicity"] for r in scored.collect()} == {0.5}
+    assert mixing.take(spark, docs).columns == names and pii.redact(spark, docs).columns == names
+    assert {r["text"].split()[-1] for r in pii.redact(spark, docs).collect()} == {"[EMAIL]"}
+    kept = parity.representatives(spark, docs)
+    assert kept.columns == names and kept.count() == 20
+
+
+def test_decoding_of_ids_that_are_no_pieces(spark, model):
+    rows = [(1, [*model.encode("hello there"), 10**6, -1]), (2, None), (3, []), (4, [None, *model.encode("x")])]
+    tokens = spark.createDataFrame(rows, "id long, ids array<int>")
+    assert {r["id"]: r["text"] for r in pieces.decode(spark, tokens, MODEL).collect()} == {1: "hello there", 2: "", 3: "", 4: "x"}
