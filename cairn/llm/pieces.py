@@ -17,6 +17,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -29,9 +30,11 @@ from .workspace import text_slices
 
 SPACE = "▁"
 #: Units a generation of the cache holds; two generations live at once.
-CACHED = 125_000
+CACHED = 250_000
 #: Token pairs whose compatibility is remembered; the memory starts anew beyond it.
 PAIRS = 300_000
+#: The gain of two neighbours that no piece joins.
+NO_PIECE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -62,7 +65,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Pieces:
     """A merge model: vocabulary, encoder and decoder."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cached: int = CACHED):
         self.text: list[str] = []
         self.kind: list[int] = []
         score: list[float] = []
@@ -103,22 +106,23 @@ class Pieces:
         self.automaton.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._unit = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self._units = _Cache(self.encode_unit)
+        self._units = _Cache(self.encode_unit, cached)
         # the words of a text without runs of spaces: a line feed starts a word of its own, without a space before it
-        self._words = _Cache(lambda word: self.encode_unit(word if word[0] == "\n" else SPACE + word))
+        self._words = _Cache(lambda word: self.encode_unit(word if word[0] == "\n" else SPACE + word), cached)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that repeated merging leaves, the best score first and the leftmost among equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.score.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score.get
+        gains = [score(a + b, NO_PIECE) for a, b in pairwise(parts)]
+        while gains and (best := max(gains)) > NO_PIECE:
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], NO_PIECE)
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], NO_PIECE)
+        return parts
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the joint text of two tokens merges into just these two."""
@@ -213,16 +217,16 @@ class Pieces:
 class _Cache(dict):
     """Encodings as joined decimal ids: two generations, of which the older is given up."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], cached: int):
         super().__init__()
-        self._encode, self._old = encode, {}
+        self._encode, self._cached, self._old = encode, cached, {}
 
     def __missing__(self, unit: str) -> str:
         value = self._old.get(unit)
         if value is None:
             value = " ".join(map(str, self._encode(unit)))
         if len(unit) <= 64:
-            if len(self) >= CACHED:
+            if len(self) >= self._cached:
                 self._old = dict(self)
                 self.clear()
             self[unit] = value
@@ -230,9 +234,9 @@ class _Cache(dict):
 
 
 @lru_cache(maxsize=2)
-def _load(name: str) -> Pieces:
+def _load(name: str, cached: int = CACHED) -> Pieces:
     with open(SparkFiles.get(name), "rb") as file:
-        return Pieces(file.read())
+        return Pieces(file.read(), cached)
 
 
 def ship(spark: SparkSession, path: str) -> str:
@@ -241,9 +245,9 @@ def ship(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def _ids(name: str):
+def _ids(name: str, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _load(name)
+        pieces = _load(name, cached)
         for batch in text_slices(batches, 1):
             found = [np.array(pieces.encode_text(x.as_py() or "").split(" "), np.int32) for x in batch.column(1)]
             at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
@@ -252,14 +256,15 @@ def _ids(name: str):
     return run
 
 
-def encode(spark: SparkSession, docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """``id, ids``: the token ids of every whole text, with the end id.
 
     Null and empty texts have the end id alone. A very long text is encoded whole, in time that grows with its length. Rows are encoded one by one: ids may be null or repeated, other
-    columns are ignored, an empty table gives an empty result.
+    columns are ignored, an empty table gives an empty result. A generation of the cache holds ``cached`` units (some 200
+    bytes each); the result does not depend on it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_ids(ship(spark, model)), f"id {dict(rows.dtypes)['id']}, ids array<int>")
+    return rows.mapInArrow(_ids(ship(spark, model), cached), f"id {dict(rows.dtypes)['id']}, ids array<int>")
 
 
 def _texts(name: str):

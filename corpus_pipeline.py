@@ -20,6 +20,10 @@ from cairn.llm import mixing, parity, pieces, pii, toxicity
 from cairn.llm.workspace import Workspace, scratch
 
 
+#: Cached units per task: the workers of all stages share the executors' memory.
+CACHED = 125_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; the model is learnt from the labelled documents among them."""
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -43,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids`` of every document that is left, with the end id."""
-    found = pieces.encode(spark, docs.select(F.struct("doc_id", "source").alias("at"), "text"), public_tokenizers.path("piece_bpe_32k.model"), id_col="at")
+    found = pieces.encode(spark, docs.select(F.struct("doc_id", "source").alias("at"), "text"), public_tokenizers.path("piece_bpe_32k.model"), id_col="at", cached=CACHED)
     return found.select("id.doc_id", "id.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
