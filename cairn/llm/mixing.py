@@ -5,9 +5,8 @@ from patterns to source quotas. A pattern offers its tokens once at cost 0, a se
 time at cost 2 and so on, so repetition is spread before it deepens. The flow of a pattern then becomes
 whole copies of all its documents plus one more copy of a seeded selection of them.
 
-A source that shares no document with another needs no flow: its one pattern fills its quota as far as its repetitions
-reach. Those are planned by distributed aggregates, however many they are. Sources that share documents fall into groups
-that share none with each other, and the flow of each group is found in a task of its own.
+Sources fall into groups that share no document with each other, most often of one source each. The flow falls apart with
+them, so that of every group is found by itself, and the groups are spread over the tasks, however many there are.
 """
 
 from __future__ import annotations
@@ -137,31 +136,28 @@ def plan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
     about = ws.cut(_targets(ws, found, weights, most))
     quota = F.rint("target").cast("long")
 
-    # sources that share documents, and all patterns of theirs, by groups that share none with each other
-    number = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    several = found.where("size(members) > 1")
-    ends = several.select(F.expr("members[0]").alias("head"), F.explode("members").alias("source"))
-    head = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "head"), F.lit("n")))
-    shared = ends.select("source", number.alias("number")).distinct()
-    groups = components(ws, ends.select(head.alias("a"), number.alias("b")))
-    shared = ws.cut(shared.join(groups, F.col("number") == F.col("node")).select(F.col("source").alias("shared"), F.col("component").alias("group")))
-    tied = F.col("source").eqNullSafe(F.col("shared"))
-    single = found.where("size(members) = 1").withColumn("source", F.element_at("members", 1))
-    routed = several.withColumn("source", F.expr("members[0]")).unionByName(single).join(small(shared), tied).select("group", "members", "tokens")
-    wanted = about.join(small(shared), tied).select("group", F.array("source").alias("members"), quota.alias("quota"))
-    both = routed.unionByName(wanted, allowMissingColumns=True)
-    flows = ws.cut(both.groupBy("group").applyInArrow(_routes(most), "of array<string>, sent long, tokens long, got_of string, got long"))
-    taken = flows.where("of is not null").select("of", "sent", "tokens")
-    got = flows.where("of is null").select("got_of", "got")
+    # patterns and sources by groups that share no document with each other
+    def name(source: str) -> Column:
+        return F.xxhash64(F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
+
+    several = found.where("size(members) > 1").select(F.get("members", F.lit(0)).alias("head"), F.explode("members").alias("source"))
+    groups = None if several.isEmpty() else ws.cut(components(ws, several.select(name("head").alias("a"), name("source").alias("b"))))
 
-    named = about.select(F.col("source").alias("named"), F.least(quota, most * F.col("source_size")).alias("sent"))
-    free = single.join(shared, tied, "left_anti").join(named, F.col("source").eqNullSafe(F.col("named"))).select(F.col("members").alias("of"), "sent", "tokens")
+    def grouped(rows: DataFrame, columns: list[str]) -> DataFrame:
+        named = rows.withColumn("node", name("source"))
+        if groups is None:
+            return named.select(F.col("node").alias("group"), *columns)
+        return named.join(small(groups), "node", "left").select(F.coalesce("component", "node").alias("group"), *columns)
+
+    offered = grouped(found.withColumn("source", F.get("members", F.lit(0))), ["members", "tokens"])
+    wanted = grouped(about.withColumn("quota", quota), ["source", "quota"]).select("group", F.array("source").alias("members"), "quota")
+    both = offered.unionByName(wanted, allowMissingColumns=True)
+    flows = ws.cut(both.groupBy("group").applyInArrow(_routes(most), "of array<string>, sent long, tokens long, got_of string, got long"))
+    got = small(flows.where("of is null").select("got_of", "got"))
     tokens = F.col("tokens") > 0
-    copies = free.unionAll(taken).select("of", F.when(tokens, F.expr("sent div tokens")).otherwise(0).alias("whole"), F.when(tokens, F.expr("sent % tokens")).otherwise(0).alias("rest"))
+    copies = flows.where("of is not null").select("of", F.when(tokens, F.expr("sent div tokens")).otherwise(0).alias("whole"), F.when(tokens, F.expr("sent % tokens")).otherwise(0).alias("rest"))
     copies = small(ws.cut(copies))
-    about = about.join(small(got.withColumn("tied", F.lit(True))), F.col("source").eqNullSafe(F.col("got_of")), "left")
-    alone = F.least(quota, most * F.col("source_size"))
-    about = about.select("source", "source_size", "target", F.when(F.col("tied"), F.col("got")).otherwise(alone).alias("routed"))
+    about = about.join(got, F.col("source").eqNullSafe(F.col("got_of"))).select("source", "source_size", "target", F.col("got").alias("routed"))
     same = F.col("members").eqNullSafe(F.col("of"))
 
     # the rank up to which the rest is filled, in two steps: over the 4,096 leading digits, and inside the one that overflows
@@ -231,7 +227,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     """(rows, sources): what the mix takes of every row, and each source's size, target and routed tokens.
 
     ``sources`` is an array column of a row's sources (default: the ``source`` column alone; null is a source of its
-    own). ``rows`` has one row per input row: ``id, members, size`` (words, a null text has none), ``copies``
+    own, rows of an empty array have none and are never taken). ``rows`` has one row per input row: ``id, members, size`` (words, a null text has none), ``copies``
     (how often the mix takes the row whole) and ``taken = copies * size``; no row is taken more than ``most``
     times. The selection depends on ids and the seed, so reruns agree; repeated ids of one pattern go together.
     Rows without words are never taken. A target lying half-way between two ranks takes the earlier row (ties at half a row's

@@ -241,7 +241,7 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.take(spark, docs.limit(0)).collect() == []
 
 
-def test_mix_of_more_sources_than_the_driver_plans_for(spark, monkeypatch):
+def test_mix_of_more_sources_than_are_broadcast(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(k, " ".join(["w"] * rng.randrange(40)), rng.choice([None, *(f"s{j}" for j in range(30))])) for k in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -252,7 +252,7 @@ def test_mix_of_more_sources_than_the_driver_plans_for(spark, monkeypatch):
     assert {s: (r["source_size"], r["target"]) for s, r in got.items()} == {s: (sizes[s], x) for s, x in mixing.targets(sizes).items()}
     assert all(r["routed"] == min(round(r["target"]), 3 * r["source_size"]) for r in got.values())
     few = mixed.collect()
-    # a source that shares documents is routed on the driver beside those that do not
+    # a source that shares documents is routed beside those that do not
     both = F.when(F.col("source") == "s1", F.array(F.lit("s1"), F.lit("s2"))).otherwise(F.array("source"))
     tied = {r["source"]: r for r in mixing.mix(spark, docs, sources=both)[1].collect()}
     assert tied["s1"]["source_size"] == sizes["s1"] and tied["s2"]["source_size"] == sizes["s1"] + sizes["s2"]
@@ -461,7 +461,7 @@ def test_flows_are_the_best_of_all():
 
 def test_mix_of_overlapping_sources(spark):
     rng = random.Random(15)
-    kinds = [["a"], ["b"], ["a", "b"], ["b", None], ["x"], ["y", "z"], ["z"], ["lone"]]
+    kinds = [["a"], ["b"], ["a", "b"], ["b", None], ["x"], ["y", "z"], ["z"], ["lone"], []]
     rows = [(k, " ".join(["w"] * rng.randrange(1, 9)), rng.choice(kinds), 0, "m") for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, origins array<string>, copies int, mix_of string").repartition(3)
     mixed, about = mixing.mix(spark, docs, sources=F.col("origins"))
@@ -482,6 +482,7 @@ def test_mix_of_overlapping_sources(spark):
         taken[key] = taken.get(key, 0) + r["taken"]
     assert abs(sum(taken.values()) - sum(map(sum, flows))) <= 8 * len(tokens) and all(r["taken"] <= 3 * r["size"] for r in got)
     assert sum(r["routed"] for r in about.values()) == sum(map(sum, flows))
+    assert len(got) == len(rows) and not any(r["copies"] for r in got if not r["members"])
     again = mixing.mix(spark, docs.repartition(5), sources=F.col("origins"))[0].collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
