@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import text_slices
+from .workspace import give_back, text_slices
 
 SPACE = "▁"
 #: Units a generation of the cache holds; two generations live at once.
@@ -133,6 +133,12 @@ class Pieces:
             known = self._pairs[a << 20 | b] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
         return known
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self._pairs.clear()
+        self._units.forget()
+        self._words.forget()
+
     def encode_known(self, unit: str) -> list[int]:
         """Token ids of a unit whose characters are all in the vocabulary."""
         longest, size, shorter, pairs, widest = self.automaton.iter_long, self.size, self.shorter, self._pairs, self.widest
@@ -232,6 +238,10 @@ class _Cache(dict):
             self[unit] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self._old = {}
+
 
 @lru_cache(maxsize=2)
 def _load(name: str, cached: int = CACHED) -> Pieces:
@@ -248,10 +258,14 @@ def ship(spark: SparkSession, path: str) -> str:
 def _ids(name: str, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(name, cached)
-        for batch in text_slices(batches, 1):
-            found = [np.array(pieces.encode_text(x.as_py() or "").split(" "), np.int32) for x in batch.column(1)]
-            at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))], ["id", "ids"])
+        try:
+            for batch in text_slices(batches, 1):
+                found = [np.array(pieces.encode_text(x.as_py() or "").split(" "), np.int32) for x in batch.column(1)]
+                at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))], ["id", "ids"])
+        finally:
+            pieces.forget()
+            give_back()
 
     return run
 
@@ -261,7 +275,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str, *, id_col: str = "d
 
     Null and empty texts have the end id alone. A very long text is encoded whole, in time that grows with its length. Rows are encoded one by one: ids may be null or repeated, other
     columns are ignored, an empty table gives an empty result. A generation of the cache holds ``cached`` units (some 200
-    bytes each); the result does not depend on it.
+    bytes each) and is emptied when a task ends; the result does not depend on it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_ids(ship(spark, model), cached), f"id {dict(rows.dtypes)['id']}, ids array<int>")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import BLOCK, U, arrow_bytes, mix
-from .workspace import text_runs, text_slices
+from .workspace import give_back, text_runs, text_slices
 
 #: Labelled rows to learn from, per class; chosen by a hash of the id. One task holds their n-gram counts.
 SAMPLE = {0: 6000, 1: 2000}
@@ -177,6 +177,8 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((index.tobytes(), share.tobytes(), batch.column(0)[k].as_py()))
     found.sort()
     model = fit([np.frombuffer(i, np.int32) for i, _, _ in found], [np.frombuffer(s, np.float32) for _, s, _ in found], np.array([y for _, _, y in found], np.int64))
+    del found
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.bias])], ["weight", "bias"])
 
 

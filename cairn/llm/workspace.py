@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,13 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.R
             yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on and share an executor's memory with later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have the call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """The name, with as many underscores behind it as make it differ from all columns in any case."""
     taken = {c.lower() for c in columns}
